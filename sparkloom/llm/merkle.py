@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, table
+from sparkloom.llm.common import keep, small_enough, table
 
 PARAGRAPH_WORDS = 8
 #: Rows that a bucket is to hold, and bucket rows that one task may sort.
@@ -102,7 +102,7 @@ def with_next(rows: DataFrame, id: str, payload: list[str]) -> DataFrame:
     firsts = ids.groupBy("bucket").agg(F.min("key").alias("first"))
     top = F.lit((high - low + 1) // width).cast("long")
     heads = keep(_following(firsts).select("first", F.coalesce("into", top).alias("into")), "heads")
-    dealt = rows.withColumns({"__key": key, "__bucket": bucket}).join(heads, F.col("__key") == F.col("first"), "left")
+    dealt = rows.withColumns({"__key": key, "__bucket": bucket}).join(small_enough(heads), F.col("__key") == F.col("first"), "left")
     own = F.struct(F.col("__bucket").alias("at"), F.lit(0).alias("late"))
     both = F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("into").alias("at"), F.lit(1).alias("late"))))
     dealt = dealt.select(*rows.columns, "__key", F.inline(both))
