@@ -6,8 +6,8 @@ folder. For each window the two rarest terms are looked up; their posting lists,
 the item, are intersected, so an alignment of item and document survives only if both agree. Surviving windows are
 then compared word by word with the document. Windows with a term that no document has are never looked up.
 
-Tables that depend on the benchmark alone or on survivors are written to the shared folder first, so that Spark
-knows their sizes: it broadcasts those below its threshold and joins the others by shuffling.
+Tables that depend on the benchmark alone or on survivors are written to the shared folder first, so that their
+sizes are known: small ones are broadcast, and the others are joined by shuffling.
 
 Defined results: null and empty texts have no words; repeated rows each get a row; null item_ids count for hits but
 not as items; an empty benchmark finds nothing; other columns are ignored.
@@ -20,7 +20,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, table
+from sparkloom.llm.common import keep, small_enough, table
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,7 +84,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     """Documents ``(doc_id, doc, n_words, found)`` with their exact windows (place, length, said), and ``(said, item_id)``."""
     named, made, aligned = _lookup(docs, benchmark, window)
     candidates = keep(_candidates(made, aligned), "candidates")
-    rows = docs.select("doc_id", "text", row_key().alias("doc")).join(candidates, "doc", "left")
+    rows = docs.select("doc_id", "text", row_key().alias("doc")).join(small_enough(candidates), "doc", "left")
     rows = rows.select("doc_id", "doc", "found", words(F.col("text")).alias("words"))
     same = lambda c: F.array_join(F.slice("words", c["place"] + 1, c["length"]), " ") == c["said"]
     exact = F.when(F.col("found").isNotNull(), F.filter("found", same))
@@ -116,7 +116,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """The documents without a hit, with all their columns."""
     rows, _ = matches(docs, benchmark, window)
     hit = keep(rows.where(F.size("found") > 0).select(F.col("doc").alias("__doc")).distinct(), "hit")
-    return docs.withColumn("__doc", row_key()).join(hit, "__doc", "left_anti").select(docs.columns)
+    return docs.withColumn("__doc", row_key()).join(small_enough(hit), "__doc", "left_anti").select(docs.columns)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
