@@ -70,6 +70,7 @@ class WordBpe:
         self.ids = np.zeros(n, np.int64)
         for s, o in self.order.items():
             self.ids[o] = vocab[s]
+        self.ids_list = self.ids.tolist()
         self.left, self.right = np.arange(n), np.arange(n)
         keys = np.empty(len(merges), np.int64)
         self.rank: dict[tuple[int, int], int] = {}
@@ -82,7 +83,11 @@ class WordBpe:
         self.chars = byte_characters()
         # For matching, a word's end is one more character.
         self.match = {s.removesuffix(self.end) + "\0" if s.endswith(self.end) and s != self.end else s: o for s, o in self.order.items()}
-        self.longest = max(map(len, self.match))
+        # How long the tokens with the same first four characters are at most.
+        self.longest: dict[str, int] = {}
+        for t in self.match:
+            if len(t) > 3:
+                self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
         self.stable: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.words = regex.compile(WORDS)
@@ -115,12 +120,69 @@ class WordBpe:
             parts = out
         return parts
 
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """Exact merging of many words: a merge of each in turn, in numpy. Words of like length go together."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            longest = max(1, len(words[order[at]]) * 3 // 2)
+            to = at
+            while to < len(order) and to - at < 20_000 and len(words[order[to]]) <= longest:
+                to += 1
+            to = max(to, at + 1)
+            rows = order[at:to]
+            if len(words[rows[-1]]) > 64:
+                for i in rows:
+                    out[i] = self.merge(words[i])
+            else:
+                for i, merged in zip(rows, self._merge_rows([words[i] for i in rows]), strict=True):
+                    out[i] = merged
+            at = to
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What two tokens merge into; ``n`` or more if they don't. Negative tokens are none."""
+        key = np.where((a < 0) | (b < 0), -1, a * self.n + b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.first_merge + self.sorted[at], self.n)
+
+    def _merge_rows(self, words: list[list[int]]) -> list[list[int]]:
+        width = max(2, max(map(len, words)))
+        grid = np.full((len(words), width), -1, np.int64)
+        lengths = np.array([len(w) for w in words])
+        grid[np.arange(width) < lengths[:, None]] = [t for w in words for t in w]
+        ranks = self._ranks(grid[:, :-1], grid[:, 1:])
+        live = np.arange(len(words))
+        while len(live):
+            best = ranks[live].argmin(axis=1)  # the leftmost of the earliest
+            made = ranks[live, best]
+            go = made < self.n
+            live, best, made = live[go], best[go], made[go]
+            if not len(live):
+                break
+            # Close the gap that the merge leaves, in tokens and in ranks.
+            part, old = grid[live], ranks[live]
+            col = np.arange(width)
+            part = np.where(col > best[:, None], np.concatenate([part[:, 1:], np.full((len(live), 1), -1)], axis=1), part)
+            old = np.where(col[:-1] > best[:, None], np.concatenate([old[:, 1:], np.full((len(live), 1), self.n)], axis=1), old)
+            each = np.arange(len(live))
+            part[each, best] = made
+            after = np.where(best + 1 < width, part[each, np.minimum(best + 1, width - 1)], -1)
+            inside = best < width - 1
+            old[each[inside], best[inside]] = self._ranks(made, after)[inside]
+            left = best > 0
+            old[each[left], best[left] - 1] = self._ranks(part[each, np.maximum(best - 1, 0)], made)[left]
+            grid[live], ranks[live] = part, old
+        return [[t for t in row if t >= 0] for row in grid.tolist()]
+
     def greedy(self, word: str) -> list[int] | None:
         """The longest token at each place, or nothing if that leads nowhere."""
-        text = "".join([self.chars[b] for b in word.encode("utf-8", "replace")]) + "\0"
-        at, out, match = 0, [], self.match
-        while at < len(text):
-            for to in range(min(len(text), at + self.longest), at, -1):
+        plain = word.isascii() and word.isprintable()  # these characters stand for themselves
+        text = (word if plain else "".join([self.chars[b] for b in word.encode("utf-8", "replace")])) + "\0"
+        at, out, match, longest, n = 0, [], self.match, self.longest, len(text)
+        while at < n:
+            for to in range(min(n, at + longest.get(text[at : at + 4], 3)), at, -1):
                 if (o := match.get(text[at:to])) is not None:
                     out.append(o)
                     at = to
@@ -162,23 +224,28 @@ class WordBpe:
         return good
 
     def learn(self, words: list[str]) -> None:
-        """Encodes and remembers words that aren't known."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        """Encodes and remembers words."""
         tries = [self.greedy(w) for w in words]
         a = np.array([x for t in tries if t for x in t[:-1]], np.int64)
         b = np.array([x for t in tries if t for x in t[1:]], np.int64)
         pairs, back = np.unique(a * self.n + b, return_inverse=True)
         fits = self.compatible(pairs // self.n, pairs % self.n)[back] if len(pairs) else np.zeros(0, bool)
-        at = 0
+        bad = np.concatenate(([0], np.cumsum(~fits))).tolist()
+        at, failing, ids = 0, [], self.ids_list
         for word, t in zip(words, tries, strict=True):
             ok = t is not None
             if ok:
-                ok = bool(fits[at : at + len(t) - 1].all()) and all(map(self.is_stable, t))
-                at += len(t) - 1
-            self.proposed += ok
-            self.merged += not ok
-            self.known[word] = self.ids[t if ok else self.merge(self.symbols(word))].tolist()
+                to = at + len(t) - 1
+                ok = bad[at] == bad[to] and all(map(self.is_stable, t))
+                at = to
+            if ok:
+                self.known[word] = [ids[x] for x in t]
+            else:
+                failing.append(word)
+        self.proposed += len(words) - len(failing)
+        self.merged += len(failing)
+        for word, t in zip(failing, self.merge_all([self.symbols(w) for w in failing]), strict=True):
+            self.known[word] = [ids[x] for x in t]
 
     # -- texts
 
@@ -203,19 +270,18 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        self.learn([w for w in new if isinstance(w, str)])
+        met = {w for words in split for w in words if isinstance(w, str)}
+        if len(self.known) + len(met) > REMEMBERED:
+            self.known.clear()
+        self.learn(list(met.difference(self.known)))
         known, out = self.known, []
         for words in split:
             ids: list[int] = []
             for w in words:
                 if w in known:
                     ids += known[w]
-                elif isinstance(w, int):
+                else:
                     ids.append(w)
-                else:  # forgotten meanwhile
-                    self.learn([w])
-                    ids += known[w]
             out.append(ids)
         return out
 
