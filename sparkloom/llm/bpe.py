@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from sparkloom.llm.common import pieces, table
 #: The white space that the normaliser knows, and the pattern that splits words.
 SPACES = r"\t\n\x0b\f\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
+#: The same for texts below U+0250, with the letters and numbers of that range spelled out.
+LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t\n\x0b\f\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 #: Words remembered by a worker.
 REMEMBERED = 250_000
 
@@ -90,7 +93,7 @@ class WordBpe:
                 self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
         self.stable: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
-        self.words = regex.compile(WORDS)
+        self.words, self.latin, self.beyond = regex.compile(WORDS), re.compile(LATIN), re.compile("[^\\x00-\\u024f]")
         self.spaces = re.compile(f"[{SPACES}]+")
         self.proposed = self.merged = 0
 
@@ -256,34 +259,31 @@ class WordBpe:
             return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
         return text.lower()
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.words if self.beyond.search(text) else self.latin).findall(text)
+
     def split(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens, of a text."""
         if self.split_special is None or not any(s in text for s in self.special):
-            return self.words.findall(self.normal(text))
+            return self.pieces(self.normal(text))
         out: list[str | int] = []
         for part in self.split_special.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += self.words.findall(self.normal(part))
+                out += self.pieces(self.normal(part))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        met = {w for words in split for w in words if isinstance(w, str)}
+        met = set().union(*split)
+        special = {w for w in met if isinstance(w, int)} if any(s in t for t in texts for s in self.special) else set()
+        met -= special
         if len(self.known) + len(met) > REMEMBERED:
             self.known.clear()
         self.learn(list(met.difference(self.known)))
-        known, out = self.known, []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                if w in known:
-                    ids += known[w]
-                else:
-                    ids.append(w)
-            out.append(ids)
-        return out
+        known = self.known if not special else self.known | {i: [i] for i in special}
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
 
 @lru_cache(maxsize=2)
