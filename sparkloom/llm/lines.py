@@ -29,12 +29,15 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import keep, pieces, small_enough, table
 from sparkloom.llm.components import components
-from sparkloom.llm.simhash import Forest
 
 SHINGLE, BANDS, ROWS, LIKENESS = 5, 16, 5, 0.8
 #: A sketch holds one bit of the least hash of each of the first 64 slots. Two lines are verified if they share 46 of
 #: them: lines of likeness 0.8 share 57.6 on average, and fewer than 46 with a chance of about 1e-5; others about half.
 SKETCH, SHARED = 64, 46
+#: Bits of a code point in a packed shingle: five fit in 64.
+PACKED = 64 // SHINGLE
+#: Lines whose bands are made at once, so that numpy's arrays stay in the cache.
+AT_ONCE = 400
 #: Lines of a tile in which those of a bucket are compared with each other.
 TILE = 128
 SPACE = " \t\r\x0b\f"
@@ -62,6 +65,45 @@ def likeness(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+def grams(line: str) -> np.ndarray | None:
+    """The shingles of a normalised line as sorted distinct numbers, or None where one doesn't fit in 64 bits."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < SHINGLE or codes.max() >= 1 << PACKED:
+        return None
+    n = len(codes) - SHINGLE + 1
+    codes = codes.astype(np.uint64)
+    out = codes[:n].copy()
+    for i in range(1, SHINGLE):
+        out |= codes[i : i + n] << np.uint64(PACKED * i)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+class Said:
+    """A line to be verified: its shingles as numbers where they fit, else as a set."""
+
+    def __init__(self, line: str) -> None:
+        self.line = normal(line)
+        self.grams = grams(self.line)
+        self.set: set[str] | None = None
+
+    def strings(self) -> set[str]:
+        if self.set is None:
+            self.set = shingles(self.line)
+        return self.set
+
+    def like(self, other: Said) -> bool:
+        if self.grams is None or other.grams is None:
+            return likeness(self.strings(), other.strings()) >= LIKENESS
+        x, y = len(self.grams), len(other.grams)
+        if min(x, y) < LIKENESS * max(x, y):
+            return False
+        both = np.concatenate((self.grams, other.grams))
+        both.sort()
+        n = int(np.count_nonzero(both[1:] == both[:-1]))
+        return n / (x + y - n) >= LIKENESS
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h * _MIX[0]
     h ^= h >> np.uint64(32)
@@ -129,7 +171,8 @@ def line_table(docs: DataFrame) -> DataFrame:
                                 new.append(x)
                 if len(met) > 1_000_000:
                     met.clear()
-                keys = bands(new).view(np.int64).ravel() if new else np.zeros(0, np.int64)
+                made = [bands(new[i : i + AT_ONCE]).view(np.int64).ravel() for i in range(0, len(new), AT_ONCE)]
+                keys = np.concatenate(made) if made else np.zeros(0, np.int64)
                 mask = np.array(fresh, bool)
                 ends = np.concatenate(([0], np.cumsum(mask * (BANDS + 1)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~mask)) if len(mask) else pa.array([], pa.list_(pa.int64()))
@@ -140,7 +183,10 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
-    """``key, a, b, sa, sb``: the members b of each bucket of more than one line but the first, and a, the first; with sketches."""
+    """``key, a, b, sa, sb, pair``: the members b of each bucket of more than one line but the first, and a, the first; with sketches.
+
+    pair is set where a bucket is known to hold two lines only; it may be unset where batches of rows meet.
+    """
     rows = lines.where("bands is not null").select(F.explode(F.slice("bands", 1, BANDS)).alias("key"), "h", F.get("bands", F.lit(BANDS)).alias("sketch"))
     rows = rows.repartition("key").sortWithinPartitions("key", "h")
 
@@ -155,10 +201,13 @@ def _buckets(lines: DataFrame) -> DataFrame:
             at = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
             lead, of = (np.where(at >= 0, x[at], f) for x, f in zip((h, sketch), first or (0, 0), strict=True))
             out = ~begins & ~again
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, lead, h, of, sketch)], ["key", "a", "b", "sa", "sb"])
+            k = key[out]
+            begins = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+            pair = begins & np.concatenate((begins[1:], [True]))[: len(k)] & (k != key[0]) & (k != key[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, lead[out], h[out], of[out], sketch[out], pair)], ["key", "a", "b", "sa", "sb", "pair"])
             last_key, last_h, first = key[-1], h[-1], (lead[-1], of[-1])
 
-    return rows.mapInArrow(run, "key long, a long, b long, sa long, sb long")
+    return rows.mapInArrow(run, "key long, a long, b long, sa long, sb long, pair boolean")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,13 +221,13 @@ def _verified(pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b, said_a, said_b)`` that are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, x = None, set()
+        known, x = None, Said("")
         for batch in batches:
             good = []
             for a, p, q in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if a != known:
-                    known, x = a, shingles(normal(p))
-                good.append(likeness(x, shingles(normal(q))) >= LIKENESS)
+                    known, x = a, Said(p)
+                good.append(x.like(Said(q)))
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
@@ -217,11 +266,12 @@ def _cuts(group: np.ndarray) -> list[int]:
 
 
 def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Edges that span the links among lines of buckets which aren't one component yet.
+    """Edges between roots that span the links among lines of buckets which aren't one component yet.
 
     Lines whose sketch is near that of a line of another component are picked by numpy first; only their texts are
     compared.
     """
+    buckets = buckets.where(~F.col("pair"))
     members = buckets.select("key", F.col("b").alias("h"), F.col("sb").alias("sketch")).union(buckets.select("key", "a", "sa").distinct())
     placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "sketch", F.coalesce("root", "h").alias("root"))
     sums = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"))
@@ -241,19 +291,36 @@ def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, firsts: DataFra
 
     def compare(part: pa.Table) -> pa.RecordBatch:
         group, h, root, sketch = (part.column(i).to_numpy() for i in range(4))
-        said, sketch, forest = part.column(4).to_pylist(), sketch.view(np.uint64), Forest(len(h))
+        said, sketch, edges = part.column(4).to_pylist(), sketch.view(np.uint64), []
         for a, b in pairwise(_cuts(group)):
             same = (SKETCH - np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:b]) >= SHARED) & (root[a:b, None] < root[None, a:b])
-            sets: dict[int, set] = {}
+            lines: dict[int, Said] = {}
+            # What is one component already needs no comparing: as lines are linked, whole components join.
+            _, first, at = np.unique(root[a:b], return_index=True, return_inverse=True)
+            up = first[at].tolist()
+
+            def top(i: int, up: list[int] = up) -> int:
+                while up[i] != i:
+                    up[i] = i = up[up[i]]
+                return i
+
             for i, j in zip(*(x.tolist() for x in np.nonzero(same)), strict=True):
-                if forest.root[a + i] != forest.root[a + j]:
-                    x, y = (sets[k] if k in sets else sets.setdefault(k, shingles(normal(said[a + k]))) for k in (i, j))
-                    if likeness(x, y) >= LIKENESS:
-                        forest.link(np.array([a + i]), np.array([a + j]))
-        out = np.nonzero(forest.root != np.arange(len(h)))[0]
-        return pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(h[forest.root[out]])], ["a", "b"])
+                p, q = top(i), top(j)
+                if p != q:
+                    x, y = (lines[k] if k in lines else lines.setdefault(k, Said(said[a + k])) for k in (i, j))
+                    if x.like(y):
+                        up[max(p, q)] = min(p, q)
+                        edges.append((root[a + i], root[a + j]))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _grouped(picked.join(_texts(docs, wanted).hint("merge"), "h"), compare, ["h", "root", "sketch", "said"], "a long, b long")
+
 
-    return _grouped(picked.join(_texts(docs, wanted), "h"), compare, ["h", "root", "sketch", "said"], "a long, b long")
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components ``(node, root)`` after ``edges`` between roots (or lines that had none) are added."""
+    new = components(edges)
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return moved.select("node", F.coalesce("to", "root").alias("root")).union(new.join(roots, "node", "left_anti").select("node", "root"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -268,16 +335,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = keep(firsts.join(nodes, "h").select("h", "first.*"), "wanted")
     texts = keep(_texts(docs, wanted), "texts")
     said = lambda c: texts.select(F.col("h").alias(c), F.col("said").alias(f"said_{c}"))
-    good = keep(_verified(edges.join(said("b"), "b").join(said("a"), "a")), "verified")
+    good = keep(_verified(edges.join(said("b").hint("merge"), "b").join(said("a").hint("merge"), "a")), "verified")
     roots = components(good)
     rest = keep(_rest(buckets, roots, docs, firsts), "rest")
     if not rest.isEmpty():
-        roots = components(good.union(rest))
-    placed = firsts.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n")
+        roots = keep(_joined(roots, rest), "roots")
+    placed = firsts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("root is not null or n > 1")
+    placed = keep(placed.select("h", F.coalesce("root", "h").alias("root"), "first", "n"), "placed")
     kept = placed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     doomed = keep(placed.select("h", "root").join(kept, "root").select("h", "kept"), "doomed")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("line") == F.col("kept.line"))
-    gone = lines.select("doc_id", "text_hash", "line", "h").join(doomed, "h").where(~same)
+    gone = lines.select("doc_id", "text_hash", "line", "h").join(doomed.hint("merge"), "h").where(~same)
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
