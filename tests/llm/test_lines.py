@@ -51,3 +51,19 @@ def test_chain_that_the_first_line_does_not_reach(spark):
     rows = [(i, x) for i, x in enumerate(steps)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: sorted(r.gone) for r in lines.repeats(docs).collect()} == brute(rows)
+
+
+def test_packed_shingles_agree_with_sets():
+    base = "the quick brown fox jumps over the lazy dog near the river bank"
+    said = [base, base + "s", base.upper(), base[:40], "naïve — " + base, "漢字かな交じり文の行" * 3, "漢字かな交じり文の行" * 3 + "x", base + " 漢字", "aaaaaaaaa", "abcd", "", "࿿" * 6, "က" * 6]
+    for p in said:
+        for q in said:
+            expected = lines.likeness(lines.shingles(lines.normal(p)), lines.shingles(lines.normal(q))) >= lines.LIKENESS
+            assert lines.Said(p).like(lines.Said(q)) == expected, (p, q)
+
+
+def test_links_between_components_join_them(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, root long")
+    joined = lines._joined(roots, spark.createDataFrame([(5, 1), (7, 5), (3, 4)], "a long, b long"))
+    assert {tuple(r) for r in joined.collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (3, 3), (4, 3), (8, 8), (9, 8)}
+    assert joined.count() == 9
