@@ -48,6 +48,7 @@ _BINS = BANDS * ROWS
 _BAND_WEIGHTS = _RANDOM.integers(1 << 62, size=(BANDS, ROWS), dtype=np.uint64) * 2 + 1
 _BAND_SEEDS = _RANDOM.integers(1 << 62, size=BANDS, dtype=np.uint64)
 _DONORS = np.stack([_RANDOM.permutation(_BINS) for _ in range(24)])
+_ALL_DONORS = [*_DONORS, *(np.roll(np.arange(_BINS), i) for i in range(1, _BINS))]
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -127,14 +128,18 @@ def bands(lines: list[str]) -> np.ndarray:
     first = np.full(len(lines) * _BINS, _NONE)
     np.minimum.at(first, of * _BINS + slot, h.astype(np.uint32))
     first = first.reshape(-1, _BINS)
-    full = first.copy()
-    # Empty slots take the value of a donor slot; only lines that still have some are looked at again.
-    for donor in [*_DONORS, *(np.roll(np.arange(_BINS), i) for i in range(1, _BINS))]:
-        rows = np.nonzero((full == _NONE).any(axis=1))[0]
-        if not len(rows):
+    full = first.ravel().copy()
+    # Empty slots take the value of a donor slot; only slots that are still empty are looked at again.
+    empty = np.nonzero(full == _NONE)[0]
+    base, bin_of = empty - empty % _BINS, empty % _BINS
+    for donor in _ALL_DONORS:
+        if not len(empty):
             break
-        part = full[rows]
-        full[rows] = np.where(part == _NONE, first[rows][:, donor], part)
+        taken = first.ravel()[base + donor[bin_of]]
+        full[empty] = taken
+        left = taken == _NONE
+        empty, base, bin_of = empty[left], base[left], bin_of[left]
+    full = full.reshape(-1, _BINS)
     values = full.astype(np.uint64).reshape(-1, BANDS, ROWS)
     keys = _mixed((values * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) + _BAND_SEEDS)
     bits = (full[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)
@@ -211,10 +216,14 @@ def _buckets(lines: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, said`` for lines ``(h, doc_id, text_hash, line)``."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    on = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"]) & (rows["line"] == wanted["line"])
-    return rows.join(small_enough(wanted), on).select("h", "said").dropDuplicates(["h"])
+    """``h, said`` for lines ``(h, doc_id, text_hash, line)``: only the wanted lines of the documents that have some."""
+    places = keep(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "line")).alias("at")), "places")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    side = small_enough(places)
+    rows = rows.join(side, rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["text_hash"] == side["text_hash"]))
+    rows = rows.select("at", F.split("text", "\n").alias("lines"))
+    said = F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.get("lines", x["line"]).alias("said")))
+    return rows.select(F.inline(said)).where("said is not null").dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -362,7 +371,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts, counts = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
-                counts.append(sum(1 for x in lines if normal(x)))
+                counts.append(sum(1 for x in lines if x.strip(SPACE)))
                 if gone:
                     out = set(gone)
                     text = "\n".join([x for i, x in enumerate(lines) if i not in out])
