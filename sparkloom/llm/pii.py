@@ -7,6 +7,11 @@ A Feistel network over a x b >= N, keyed by SHA-256 and walked on while it leave
 below N, and the result is written back in the same format: same separators, valid check digit, a date that
 exists. Equal values become equal pseudonyms in all documents, different values different ones of the same format.
 
+Digits next to a card (an expiry date, a CVV, a row's number) are told from it by trying every span of whole groups
+that has a card's shape. A card is permuted on while its new digits would be read as other spans; only there, where
+another group of four digits or more stands before a spaced card, or where a spaced card of 19 digits starts like one
+of 16, can its pseudonym depend on how it stands.
+
 The key is a parameter; who has it can undo the permutation (``reverse=True``).
 
 Defined results: null texts stay null and count no values; empty texts stay empty; what looks like a value but
@@ -34,7 +39,12 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
-ANY = "|".join([EMAIL, DATE, SSN, PHONE, IPV4, CARD])
+#: Groups of digits, at least 13 in all, up to where a value of another kind begins: cards and what stands next to them.
+_GROUP = r"[0-9]++(?!-(?![0-9]))"
+RUN = rf"(?<![0-9-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:(?:-| (?!{'|'.join([EMAIL, DATE, SSN, PHONE, IPV4])})){_GROUP})*+"
+#: Groups as they are printed on cards: one, or several of four digits or more, of which the last may be shorter.
+SHAPE, GROUPS = r"^(?:[0-9]{13,19}|[0-9]{4,12}(?:[ -][0-9]{4,12})*[ -][0-9]{1,12})$", 5
+ANY = "|".join([EMAIL, DATE, SSN, PHONE, IPV4, RUN])
 #: First day that a date may be, and how many days there are up to the end of 2099.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 #: Characters of an e-mail's name that are permuted together.
@@ -188,9 +198,8 @@ def _email(m: Column, key: str, reverse: bool) -> Column:
 
 
 def kind(m: Column) -> Column:
-    """The kind of a found string, or null if it isn't valid."""
+    """The kind of a found string other than a run of digits, or null if it isn't valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    number = digits(m)
     valid_ssn = ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
     return (
         F.when(m.contains("@"), F.lit("email"))
@@ -198,26 +207,87 @@ def kind(m: Column) -> Column:
         .when(whole(SSN), F.when(valid_ssn, F.lit("ssn")))
         .when(whole(PHONE), F.lit("phone"))
         .when(whole(IPV4), F.lit("ipv4"))
-        .otherwise(F.when(F.length(number).between(13, 19) & (luhn_sum(number) % 10 == 0), F.lit("card")))
     )
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY, reverse: bool = False) -> Column:
-    """The pseudonym of a found string; itself if it isn't valid."""
+def _piece(text: Column, kind: Column) -> Column:
+    return F.struct(text.alias("text"), kind.cast("string").alias("kind"))
+
+
+def _valid_card(m: Column) -> Column:
+    return let(digits(m), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+
+
+def _cards(run: Column) -> Column:
+    """The pieces of a run of digits: its cards, and what is between them.
+
+    Every span of whole groups that has a card's shape is tried, from left to right and the shortest first. Where
+    none is a card, groupings that cards don't have are tried as long as they go.
+    """
+    said = lambda groups, at, n: F.array_join(F.slice(groups, at, n), "")
+    bare = lambda x: F.regexp_replace(x, "^[ -]", "")
+
+    def shaped(groups: Column) -> Column:
+        n = F.size(groups)
+        card = lambda i, k: let(bare(said(groups, i, k)), lambda x: x.rlike(SHAPE) & _valid_card(x))
+        longest = lambda i: F.least(F.lit(GROUPS), n - i + 1)
+        first = lambda i: F.coalesce(F.get(F.filter(F.sequence(F.lit(1), longest(i)), lambda k: card(i, k)), F.lit(0)), F.lit(0))
+        state = lambda free, spans: F.struct(free.alias("free"), spans.alias("spans"))
+
+        def step(z: Column, i: Column) -> Column:
+            more = lambda k: F.when(k > 0, state(i + k, F.concat(z["spans"], F.array(F.struct(z["free"].alias("gap"), i.alias("at"), k.alias("n")))))).otherwise(z)
+            return F.when(i < z["free"], z).otherwise(let(first(i), more))
 
-    def made(k: Column) -> Column:
-        out = F.when(k.isNull(), m)
-        for name, make in (("email", _email), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("ipv4", _ipv4), ("card", _card)):
+        start = state(F.lit(1), F.array().cast("array<struct<gap:int,at:int,n:int>>"))
+        ended = F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+        def cut(z: Column) -> Column:
+            gap = lambda x: F.concat(said(groups, x["gap"], x["at"] - x["gap"]), F.regexp_extract(F.get(groups, x["at"] - 1), "^[ -]?", 0))
+            pieces = F.transform(z["spans"], lambda x: F.array(_piece(gap(x), F.lit(None)), _piece(bare(said(groups, x["at"], x["n"])), F.lit("card"))))
+            rest = F.when(z["free"] <= n, said(groups, z["free"], n - z["free"] + 1)).otherwise("")
+            return F.when(F.size(z["spans"]) > 0, F.concat(F.flatten(pieces), F.array(_piece(rest, F.lit(None)))))
+
+        return let(ended, cut)
+
+    def others(run: Column) -> Column:
+        found = F.concat(F.regexp_extract_all(run, F.lit(CARD), F.lit(0)), F.array(F.lit("")))
+        valid = lambda x: F.when(~x.rlike("[0-9]{13}") & _valid_card(x), F.lit("card"))
+        return F.flatten(F.zip_with(F.split(run, CARD, -1), found, lambda g, x: F.array(_piece(g, F.lit(None)), _piece(x, valid(x)))))
+
+    return F.coalesce(let(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), shaped), others(run))
+
+
+def parts(m: Column) -> Column:
+    """The pieces (text, kind) of a found string; kind is null for what isn't a valid value and stays."""
+    run = m.rlike("^[0-9 -]+$") & ~m.rlike(f"^(?:{DATE}|{SSN}|{PHONE})$")
+    return F.when(run, _cards(m)).otherwise(F.array(_piece(m, kind(m))))
+
+
+def pseudonym(m: Column, key: str = DEFAULT_KEY, reverse: bool = False) -> Column:
+    """The pseudonym of a found string; what isn't valid in it stays."""
+    joined = lambda p: F.array_join(F.transform(p, lambda x: x["text"]), "")
+
+    def cards(pieces: Column) -> Column:
+        # Walked on until the new digits are read as the same pieces, so that they can be reversed.
+        new = lambda p: F.transform(p, lambda x: F.when(x["kind"] == "card", _piece(_card(x["text"], key, reverse), x["kind"])).otherwise(x))
+        state = lambda p, done: F.struct(p.alias("p"), done.alias("done"))
+        step = lambda z, i: F.when(z["done"], z).otherwise(let(new(z["p"]), lambda p: state(p, parts(joined(p)) == p)))
+        return joined(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), state(pieces, F.lit(False)), step)["p"])
+
+    def made(pieces: Column) -> Column:
+        k = F.get(pieces, F.lit(0))["kind"]
+        out = F.when(F.exists(pieces, lambda x: F.coalesce(x["kind"] == "card", F.lit(False))), cards(pieces)).when(k.isNull(), m)
+        for name, make in (("email", _email), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("ipv4", _ipv4)):
             out = out.when(k == name, make(m, key, reverse))
         return out
 
-    return let(kind(m), made)
+    return let(parts(m), made)
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, reverse: bool = False) -> DataFrame:
     """``docs`` with the values of ``text`` replaced, and how many there were in all and of each kind."""
     rows = docs.drop("n_values", "kinds").withColumn("__found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    valid = F.filter(F.transform("__found", kind), lambda k: k.isNotNull())
+    valid = F.filter(F.flatten(F.transform("__found", lambda m: F.transform(parts(m), lambda x: x["kind"]))), lambda k: k.isNotNull())
     gaps = F.split(F.col("text"), ANY, -1)
     new = F.concat(F.transform("__found", lambda m: pseudonym(m, key, reverse)), F.array(F.lit("")))
     text = F.when(F.size("__found") > 0, F.array_join(F.zip_with(gaps, new, lambda g, x: F.concat(g, x)), "")).otherwise(F.col("text"))

@@ -61,3 +61,39 @@ def test_empty_and_long(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = run(spark, ["a" * 300000, "9" * 50000, ("x" * 30 + "." + "1" * 20) + "@b.org"])
     assert [r.n_values for r in got] == [0, 0, 1] and got[2].text.endswith("@b.org") and len(got[2].text) == 57
+
+
+CARDS = [
+    ("Visa 4111 1111 1111 1111 12/26", "4111 1111 1111 1111"),
+    ("pan 4111111111111111 123.", "4111111111111111"),
+    ("row 12 4111111111111111 paid", "4111111111111111"),
+    ("12 4111 1111 1111 1111 123 x", "4111 1111 1111 1111"),
+    ("7 378282246310005 4 on 2024-02-29", "378282246310005"),
+    ("amex 3782 822463 10005 1234", "3782 822463 10005"),
+    ("1234 4111-1111-1111-1111 9", "4111-1111-1111-1111"),
+    ("odd 41 11 11 11 11 11 11 11 2024", "41 11 11 11 11 11 11 11"),
+    ("4111 1111 1111 1111 123-x", "4111 1111 1111 1111"),
+    ("4111 1111 1111 1111 123-45-6789", "4111 1111 1111 1111"),
+]
+
+
+def test_cards_next_to_other_digits(spark):
+    texts = [t for t, _ in CARDS] + ["two 4111111111111111 5500005555555559 12", "no 4111111111111112 123", "1 " * 3000]
+    got = run(spark, texts)
+    for r, (text, card) in zip(got, CARDS, strict=False):
+        before, after = text.split(card)
+        if r.n_values == 1:
+            assert r.text.startswith(before) and r.text.endswith(after)
+        assert "card" in r.kinds.split(",") and card not in r.text and len(r.text) == len(text)
+        assert luhn(r.text[len(before) : len(before) + len(card)]) % 10 == 0
+    assert [r.kinds for r in got[:10]] == ["card"] * 4 + ["card,date"] + ["card"] * 4 + ["card,ssn"]
+    assert got[10].kinds == "card,card" and got[10].text.endswith(" 12")
+    assert [(r.n_values, r.text) for r in got[11:]] == [(0, texts[11]), (0, texts[12])]
+    assert [r.text for r in run(spark, [r.text for r in got], reverse=True)] == texts
+
+
+def test_reversal_where_spans_overlap(spark):
+    texts = [f"{1000 + 37 * i} 4111 1111 1111 1111 {i}" for i in range(60)]
+    got = run(spark, texts)
+    assert all(r.n_values == 1 for r in got)
+    assert [r.text for r in run(spark, [r.text for r in got], reverse=True)] == texts
