@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-Payment cards (13 to 19 digits, Luhn), telephone numbers of the North American plan, social security numbers,
-IPv4 addresses and ISO dates are recognised by their form and validated; the local parts of e-mail addresses are
+Payment cards (13 to 19 digits, Luhn), telephone numbers of the North American plan (written ``+1 (ddd)``, with area
+codes from 000 to 199 too, which the plan doesn't have), social security numbers, IPv4 addresses and ISO dates are recognised by their form and validated; the local parts of e-mail addresses are
 treated alike. A value's variable part becomes a number below N, where N is how many valid values the format has.
 A Feistel network over a x b >= N, keyed by SHA-256 and walked on while it leaves the range, permutes the numbers
 below N, and the result is written back in the same format: same separators, valid check digit, a date that
@@ -36,7 +36,7 @@ DEFAULT_KEY = "sparkloom example key"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9+(])(?:(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])|\+1[ .-]?\([01][0-9]{2}\) ?)[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
 #: Groups of digits, at least 13 in all, up to where a value of another kind begins: cards and what stands next to them.
@@ -133,16 +133,19 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
-    """Area and exchange from 200 to 999, and four digits."""
+    """Area and exchange from 200 to 999, and four digits; areas from 000 to 199 are permuted among themselves."""
 
     def new(d: Column) -> Column:
         d10 = F.substring(d, F.length(d) - 9, F.lit(10))
         part = lambda at, n: F.substring(d10, at, n).cast("long")
-        x = ((part(1, 3) - 200) * 800 + (part(4, 3) - 200)) * 10000 + part(7, 4)
-        y = permute(x, F.expr("6400000000L"), key, F.lit("phone"), reverse)
+        low = part(1, 3) < 200
+        base = F.when(low, 0).otherwise(200)
+        x = ((part(1, 3) - base) * 800 + (part(4, 3) - 200)) * 10000 + part(7, 4)
+        n = F.when(low, F.expr("1600000000L")).otherwise(F.expr("6400000000L"))
+        y = permute(x, n, key, F.lit("phone"), reverse)
         said = lambda y: F.concat(
             F.substring(d, F.lit(1), F.length(d) - 10),
-            (F.floor(y / 8000000) + 200).cast("string"),
+            pad(F.floor(y / 8000000) + base, F.lit(3)),
             (F.floor(F.pmod(y, F.expr("8000000L")) / 10000) + 200).cast("string"),
             pad(F.pmod(y, F.expr("10000L")), F.lit(4)),
         )

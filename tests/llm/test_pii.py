@@ -97,3 +97,12 @@ def test_reversal_where_spans_overlap(spark):
     got = run(spark, texts)
     assert all(r.n_values == 1 for r in got)
     assert [r.text for r in run(spark, [r.text for r in got], reverse=True)] == texts
+
+
+def test_area_codes_below_200(spark):
+    texts = ["call +1 (152) 555-8590 now", "call +1 (988) 555-2485 now", "988-555-2485", "152-555-8590", "(152) 555-8590", "+1 (034) 555-1234"]
+    got = run(spark, texts)
+    assert [r.kinds for r in got] == ["phone", "phone", "phone", "", "", "phone"] and [r.text for r in got[3:5]] == texts[3:5]
+    assert got[0].text[9] in "01" and got[5].text != texts[5] and got[0].text != texts[0] and len(got[0].text) == len(texts[0])
+    assert "".join(c for c in got[1].text if c.isdigit())[1:] == got[2].text.replace("-", "")
+    assert [r.text for r in run(spark, [r.text for r in got], reverse=True)] == texts
