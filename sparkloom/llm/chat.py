@@ -1,10 +1,14 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Turns get a token count and its prefix sum in their conversation. A window is a span of turns: those whose prefix
-sum falls into one stride, where the stride is the budget less the history and the system turn. Windows repeat
-the leading system turn and the turns that started within the last ``history`` tokens before them; the loss mask
-covers the assistant turns of the window's own span only, so each target counts once. A turn is never cut: one
-that is longer than the budget stands in a window that exceeds it.
+Turns get a token count and its prefix sum in their conversation. A window is a span of turns: those that start in
+one stride of the prefix sum, where the stride is the budget less the history and the system turn. Where these are
+longer together than a stride, the last of them, which crosses into the next one, is a window of its own. Windows
+repeat the leading system turn and the whole turns that fit in the last ``history`` tokens before them; the loss
+mask covers the assistant turns of the window's own span only, so each target counts once.
+
+System, history and own turns together keep the budget. A turn is never cut: only one that is longer than the budget
+itself stands in a window that exceeds it. Where a turn fits only without history or the system turn, its window
+doesn't repeat them; a system turn that leaves less than ``history`` tokens is a turn like any other.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` and a newline. Control strings of this and other common templates are
 escaped in roles and texts by a backslash after their opening character; strings that look escaped get one more,
@@ -54,20 +58,32 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     ordered = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     whole = Window.partitionBy("conv_id")
     rows = rows.withColumns({"at": F.row_number().over(ordered), "n": tokens(F.col("text"))})
-    rows = rows.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
+    rows = rows.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system") & (F.col("n") <= budget - history))
     spent = F.when(F.col("system"), 0).otherwise(F.col("n"))
     rows = rows.withColumns(
         {
-            "start": F.sum(spent).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - spent,
-            "stride": F.greatest(F.lit(history), F.lit(1), F.lit(budget - history) - F.coalesce(F.max(F.when(F.col("system"), F.col("n"))).over(whole), F.lit(0))),
+            "end": F.sum(spent).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "repeated": F.coalesce(F.max(F.when(F.col("system"), F.col("n"))).over(whole), F.lit(0)),
         }
     )
-    rows = rows.withColumn("span", F.floor(F.col("start") / F.col("stride")))
-    rows = rows.withColumn("last", F.when(F.col("system"), F.max("span").over(whole)).otherwise(F.floor((F.col("start") + history) / F.col("stride"))))
-    rows = rows.select("*", F.explode(F.sequence("span", F.greatest("span", "last"))).alias("window"))
-    rows = rows.withColumn("own", F.col("window") == F.col("span"))
+    room = F.lit(budget) - F.col("repeated")
+    stride = F.greatest(F.lit(1), room - F.least(F.lit(history), F.floor(room / 2)))
+    rows = rows.withColumns({"start": F.col("end") - spent, "stride": stride})
+    place = lambda x: F.floor(x / F.col("stride"))
+    rows = rows.withColumn("span", place(F.col("start")))
+    alone = F.col("end") - F.min("start").over(Window.partitionBy("conv_id", "span")) > F.col("stride")
+    rows = rows.withColumn("key", F.col("span") * 2 + alone.cast("int"))
+    # Windows that may repeat a turn: both of each stride in which one may start after it.
+    last = F.when(F.col("system"), F.max("key").over(whole)).otherwise(place(F.col("start") + history) * 2 + 1)
+    rows = rows.withColumn("last", last)
+    rows = rows.select("*", F.explode(F.sequence("key", F.greatest("key", "last"))).alias("window"))
+    rows = rows.withColumn("own", F.col("window") == F.col("key"))
     of = Window.partitionBy("conv_id", "window")
-    rows = rows.withColumn("used", F.max("own").over(of)).where("used")
+    rows = rows.withColumns({"first": F.min(F.when(F.col("own"), F.col("start"))).over(of), "spent": F.max(F.when(F.col("own"), F.col("end"))).over(of)})
+    left = F.lit(budget) - (F.col("spent") - F.col("first"))
+    fits = (F.col("repeated") <= left) | (left < 0)
+    near = F.col("first") - F.col("start") <= F.least(F.lit(history), left - F.when(fits, F.col("repeated")).otherwise(0))
+    rows = rows.where("first is not null").where(F.col("own") | F.when(F.col("system"), fits).otherwise((F.col("end") <= F.col("first")) & near))
     rows = rows.withColumns({"head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)), "body": escape(F.col("text"))})
     size = F.length("head") + F.length("body") + len(END)
     before = F.sum(size).over(of.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size

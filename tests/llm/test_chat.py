@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from sparkloom.llm import chat
 
@@ -62,3 +64,30 @@ def test_query_matches_brute_force(spark):
         r = got[i]
         assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss)) and r.formatted_chars > sum(len(t) for _, t in turns)
+
+
+def test_windows_keep_their_budget(spark):
+    count = lambda t: len(re.findall(r"\w+|[^\w\s]", t)) + chat.MARKS
+    rng, by = random.Random(3), {}
+    for c, (mean, system) in enumerate([(50, 0), (50, 20), (200, 0), (200, 300), (600, 600), (600, 767), (900, 1000), (30, 2000)]):
+        by[c] = [("system", "s " * system)] * (system > 0)
+        by[c] += [("user" if i % 2 else "assistant", f"{c} {i} " + "w " * rng.randrange(2 * mean)) for i in range(200)]
+    rows = [(c, i, r, t) for c, turns in by.items() for i, (r, t) in enumerate(turns)]
+    made, got = read(spark, rows)
+    for c, turns in by.items():
+        assert [(t.role, t.text) for t in got[c].turns] == turns
+        assert list(got[c].loss) == [t for r, t in turns if r == "assistant"]
+        at = 0
+        for w in sorted((w for w in made if w.conv_id == c), key=lambda w: w.window):
+            said = [tuple(x.removeprefix(chat.TURN).split(chat.TEXT)) for x in w.text.split(chat.END)[:-1]]
+            sizes = [count(t) for _, t in said]
+            assert sum(sizes) <= chat.BUDGET or max(sizes) > chat.BUDGET, (c, w.window, sizes, w.context)
+            system = int(w.context > 0 and said[0][0] == "system")
+            assert sum(sizes[system : w.context]) <= chat.HISTORY
+            assert said[system:] == turns[at - (w.context - system) : at + len(said) - w.context]
+            # History is left out only where it doesn't fit.
+            if at > (turns[0][0] == "system") and 0 < (before := at - (w.context - system)) and turns[before - 1][0] != "system":
+                more = count(turns[before - 1][1])
+                assert sum(sizes[system : w.context]) + more > chat.HISTORY or sum(sizes) + more > chat.BUDGET
+            at += len(said) - w.context
+        assert at == len(turns)
