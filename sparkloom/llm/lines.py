@@ -32,8 +32,11 @@ from sparkloom.llm.components import components
 
 SHINGLE, BANDS, ROWS, LIKENESS = 5, 16, 5, 0.8
 #: A sketch holds one bit of the least hash of each of the first 64 slots. Two lines are verified if they share 46 of
-#: them: lines of likeness 0.8 share 57.6 on average, and fewer than 46 with a chance of about 1e-5; others about half.
+#: them: lines of likeness 0.8 share 57.6 on average, and fewer than 46 with a chance of about 2e-5; others about half.
 SKETCH, SHARED = 64, 46
+#: Lines that fill fewer slots, so all of fewer shingles, are verified whatever they share: many of their slots hold the
+#: same value and so the same bit. Their sketch is ALWAYS.
+FILLED, ALWAYS = 30, 0
 #: Bits of a code point in a packed shingle: five fit in 64.
 PACKED = 64 // SHINGLE
 #: Lines whose bands are made at once, so that numpy's arrays stay in the cache.
@@ -128,6 +131,7 @@ def bands(lines: list[str]) -> np.ndarray:
     first = np.full(len(lines) * _BINS, _NONE)
     np.minimum.at(first, of * _BINS + slot, h.astype(np.uint32))
     first = first.reshape(-1, _BINS)
+    few = np.count_nonzero(first != _NONE, axis=1) < FILLED
     full = first.ravel().copy()
     # Empty slots take the value of a donor slot; only slots that are still empty are looked at again.
     empty = np.nonzero(full == _NONE)[0]
@@ -144,6 +148,7 @@ def bands(lines: list[str]) -> np.ndarray:
     keys = _mixed((values * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) + _BAND_SEEDS)
     bits = (full[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)
     sketch = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    sketch[few] = ALWAYS
     return np.concatenate([keys, sketch], axis=1)
 
 
@@ -270,6 +275,12 @@ def _grouped(rows: DataFrame, work, columns: list[str], schema: str) -> DataFram
     return rows.repartition("group").sortWithinPartitions("group").select("group", *columns).mapInArrow(run, schema)
 
 
+def _near(sketch: np.ndarray) -> np.ndarray:
+    """For each two of the lines with these sketches, whether they are to be verified."""
+    few = sketch == ALWAYS
+    return (SKETCH - np.bitwise_count(sketch[:, None] ^ sketch[None]) >= SHARED) | few[:, None] | few[None]
+
+
 def _cuts(group: np.ndarray) -> list[int]:
     return np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)])).tolist()
 
@@ -291,8 +302,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, firsts: DataFra
         group, h, root, sketch = (part.column(i).to_numpy() for i in range(4))
         near, sketch = np.zeros(len(h), bool), sketch.view(np.uint64)
         for a, b in pairwise(_cuts(group)):
-            same = SKETCH - np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:b]) >= SHARED
-            near[a:b] = (same & (root[a:b, None] != root[None, a:b])).any(axis=1)
+            near[a:b] = (_near(sketch[a:b]) & (root[a:b, None] != root[None, a:b])).any(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (group, h, root, sketch.view(np.int64))], ["group", "h", "root", "sketch"])
 
     picked = keep(_grouped(_tiled(placed, sizes, "root", "sketch"), pick, ["h", "root", "sketch"], "group long, h long, root long, sketch long"), "picked")
@@ -302,7 +312,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, firsts: DataFra
         group, h, root, sketch = (part.column(i).to_numpy() for i in range(4))
         said, sketch, edges = part.column(4).to_pylist(), sketch.view(np.uint64), []
         for a, b in pairwise(_cuts(group)):
-            same = (SKETCH - np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:b]) >= SHARED) & (root[a:b, None] < root[None, a:b])
+            same = _near(sketch[a:b]) & (root[a:b, None] < root[None, a:b])
             lines: dict[int, Said] = {}
             # What is one component already needs no comparing: as lines are linked, whole components join.
             _, first, at = np.unique(root[a:b], return_index=True, return_inverse=True)
@@ -338,7 +348,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "line")
     firsts = keep(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     buckets = keep(_buckets(lines), "buckets")
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH - SHARED
+    near = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH - SHARED) | (F.col("sa") == ALWAYS) | (F.col("sb") == ALWAYS)
     edges = keep(buckets.where(near).select("a", "b").distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
     wanted = keep(firsts.join(nodes, "h").select("h", "first.*"), "wanted")

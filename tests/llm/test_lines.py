@@ -1,3 +1,5 @@
+import random
+
 from sparkloom.llm import lines
 
 BASE = "the quick brown fox jumps over the lazy dog while the band plays on and on in the old town square tonight"
@@ -67,3 +69,14 @@ def test_links_between_components_join_them(spark):
     joined = lines._joined(roots, spark.createDataFrame([(5, 1), (7, 5), (3, 4)], "a long, b long"))
     assert {tuple(r) for r in joined.collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (3, 3), (4, 3), (8, 8), (9, 8)}
     assert joined.count() == 9
+
+
+def test_short_lines_that_share_a_band_are_verified(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    pairs = [(x, x + word(more)) for n, more in ((8, 1), (12, 2), (14, 2)) for x in (word(n) for _ in range(500))]
+    keys = lines.bands([x for p in pairs for x in p])[:, : lines.BANDS].reshape(len(pairs), 2, -1)
+    pairs = [p for p, k in zip(pairs, keys, strict=True) if (k[0] == k[1]).any()]
+    docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    assert len(pairs) > 1450
+    assert {r.doc_id for r in lines.repeats(docs).collect()} == {2 * i + 1 for i in range(len(pairs))}
