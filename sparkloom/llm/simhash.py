@@ -23,8 +23,9 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import as_bytes, keep, pieces, table
 from sparkloom.llm.components import components
@@ -162,31 +163,57 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for each document; component_id is the least doc_id reachable."""
+def _placed(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` for each document; root is a fingerprint that tells components apart."""
     marked = keep(fingerprints(docs, size), "fingerprints")
     first = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "first")
     roots = components(links(first.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     joined = first.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     names = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = joined.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = joined.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
+    return marked.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for each document; component_id is the least doc_id reachable."""
+    return _placed(docs, size, radius, tile).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _marked(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with the fingerprint of each row as ``__fp``."""
+    cols, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at):
+                fps = np.array([fingerprint(x, size) for x in as_bytes(part.column(at))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], [*cols, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component; documents without a doc_id stay, as do all columns.
+    """One row of each component: of those with its least doc_id, that with the least other columns.
 
-    Of several rows with that doc_id one stays: that with the least other columns.
+    Documents without a doc_id stay, as do all columns.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs.where("doc_id is not null"), size, radius)
-    chosen = found.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in rest])
-    kept = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = _placed(docs.where("doc_id is not null"), size, radius)
+    ids = found.groupBy("doc_id").agg((F.min("root") != F.max("root")).alias("__several"), F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
+    ids = keep(ids.where("named").select("doc_id", "__several"), "ids")
+    rest = [F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"]
+
+    def first(rows: DataFrame, by: str) -> DataFrame:
+        order = Window.partitionBy(by).orderBy("doc_id", *rest)
+        return rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(docs.columns)
+
+    kept = first(docs.join(ids.where("not __several"), "doc_id", "left_semi"), "doc_id")
+    several = ids.where("__several").select("doc_id")
+    if not several.isEmpty():
+        # Rows that share a doc_id but not a component are told apart by their fingerprints.
+        named = found.where("doc_id = component_id").join(several, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+        rows = _marked(docs.join(several, "doc_id", "left_semi").select(docs.columns), size)
+        kept = kept.unionByName(first(rows.join(named, ["doc_id", "__fp"]), "__root"))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_edge_cases(spark):
     assert got == [(0, 1), (1, 1), (1, 1), (2, 2)]
     kept = simhash.one_of_each(rows).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six seven", "red green blue black white grey")
+    texts = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, a), (7, "completely different words stand here now"), (8, "alone and with its own words"), (None, a), (9, None)]
+    rows = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(texts)], SCHEMA)
+    got = sorted((r.doc_id or 0, r.text, r.fp) for r in simhash.one_of_each(rows).where("text is not null").collect())
+    assert got == [(0, a, "9"), (1, a, "0"), (5, b, "2"), (7, texts[7][1], "7"), (7, c, "5"), (8, texts[8][1], "8")]
+    assert simhash.one_of_each(rows).count() == 7
