@@ -3,6 +3,9 @@
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 
+The last stage adds the token ids, how many there are, and the SHA-256 of the text decoded from them; ``run`` shows
+the last on request only.
+
 Line repeats change texts, so ``n_chars`` is set anew; a document of which no line is left was only repeats and
 goes, while one that was blank from the start stays.
 """
@@ -37,7 +40,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    read = bpe.decode(bpe.encode(docs), text="__decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    return read.withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
 
 
 STAGES = [
@@ -45,16 +49,16 @@ STAGES = [
     ("line dedup", line_stage),
     ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
-    ("BPE encoding", token_stage),
+    ("BPE encoding and decoding", token_stage),
 ]
 
 #: SQL can express neither the classifier nor the components; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of an input folder."""
+def run(spark: SparkSession, sf_dir: str, decoded: bool = False) -> DataFrame:
+    """All stages over the documents of an input folder; ``decoded`` leaves the digest of the decoded text in."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return docs if decoded else docs.drop("decoded_sha256")

@@ -1,4 +1,8 @@
+import hashlib
+
 import duckdb
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from sparkloom.llm import quality, simhash
@@ -38,3 +42,13 @@ def test_stages_one_by_one(spark):
 def test_run(spark):
     out = cp.run(spark, SF)
     assert 0 < out.count() < 200 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens"]
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "Hello there, World"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in cp.token_stage(spark, docs, SF).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in got.values():
+        want = tokenizer.decode(list(r.ids), skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert got[1].text == "Hello there, World" and got[1].n_tokens > 0
