@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (local tests) one is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only on a local master, where that is unset, one is made and set.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -32,21 +37,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are removed at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Removes what ``keep`` wrote for ``df``."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*kept: DataFrame) -> None:
+    """Removes what ``keep`` wrote. No frame that reads it may be run later."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``df`` (which ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -70,11 +93,39 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
 
 
-def small_enough(df: DataFrame, most_mb: int = 16) -> DataFrame:
-    """``df``, which ``keep`` has written, marked for broadcast if its files are below ``most_mb``; else as it is."""
-    from pyspark.sql import functions as F
+def _unfolded(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda n, x: n + _unfolded(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return sum((_unfolded(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
 
+def small_enough(df: DataFrame, most_mb: int = 16) -> DataFrame:
+    """``df``, which ``keep`` has written, marked for broadcast if it takes less than ``most_mb`` unfolded; else as it is."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-    length = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if length <= most_mb << 20 else df
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() > most_mb << 20:
+        return df
+    width = sum((_unfolded(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(32).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_mb << 20 else df
+
+
+def hub_limit(rows: int) -> int:
+    """A key with more rows than this is a hub: there are at most 100,000 hubs, however many rows."""
+    return max(256, rows // 100_000)
+
+
+def hub_join(rows: DataFrame, side: DataFrame, key: str, n: str, limit: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which has one row a ``key`` and says in ``n`` how many of ``rows`` have it.
+
+    Keys with more than ``limit`` rows, of which there can be few, are joined by broadcast, so that none of them
+    gathers in a task; the rest is shuffled. ``n`` isn't in the result.
+    """
+    hubs = side.where(F.col(n) > limit)
+    many = rows.join(F.broadcast(hubs.drop(n)), key)
+    few = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(side.where(F.col(n) <= limit).drop(n), key, how)
+    return few.unionByName(many)

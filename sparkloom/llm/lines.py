@@ -5,14 +5,18 @@ space around it. One-permutation MinHash with densification gives each line ``BA
 lines that share a band are candidates (at a Jaccard likeness of 0.8, over 99.8 % are), and every link is verified by
 exact Jaccard likeness. Components of linked lines keep one line: the first by document and place.
 
-Equal lines meet by their hash (64 bits) before anything is compared. In a bucket of candidates each line is compared
-with the bucket's first. Where a bucket's lines are then in more than one component, they are compared with each
-other, in tiles inside a task that reports a spanning forest. So copies, however many, cost a star of links, no
-link between different lines is lost, and no pairs are spread out.
+Equal lines are told by their hash (64 bits) before anything is compared. Tasks send their bands as arrays of
+numbers, gathered by ranges of the band's value; lines of a band that meet in a task already send one of them, so a
+band that many lines share doesn't gather in one place. The lines of a band form a star, or a star of stars where
+there are many, and its links are verified first. Where a band's lines are then in more than one component, all of
+them are compared with each other, exactly, in tiles inside a task that reports a spanning forest. So copies,
+however many, cost a star of links, no link between different lines of a band is lost, and no pairs are spread out.
+A band that holds more than ``SPLIT`` tiles of lines is split by further, independent bands first.
 
 Defined results: null and empty texts have no lines; blank lines are neither compared nor removed; lines shorter
-than a shingle are their own only shingle; rows that share doc_id and text count as one document, so each keeps
-what one would; a null doc_id comes first; other columns are ignored by the query and kept by ``without_repeats``.
+than a shingle are their own only shingle; very long lines are compared whole; rows that share doc_id and text count
+as one document, so each keeps what one would; a null doc_id comes first; an empty table gives no rows; other columns are
+ignored by the query and kept by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,34 +31,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import keep, pieces, small_enough, table
-from sparkloom.llm.components import components
+from sparkloom.llm.common import as_bytes, forget, hub_join, hub_limit, keep, pieces, table, unused
+from sparkloom.llm.components import Forest, components
 
 SHINGLE, BANDS, ROWS, LIKENESS = 5, 16, 5, 0.8
-#: A sketch holds one bit of the least hash of each of the first 64 slots. Two lines are verified if they share 46 of
-#: them: lines of likeness 0.8 share 57.6 on average, and fewer than 46 with a chance of about 2e-5; others about half.
-SKETCH, SHARED = 64, 46
-#: Lines that fill fewer slots, so all of fewer shingles, are verified whatever they share: many of their slots hold the
-#: same value and so the same bit. Their sketch is ALWAYS.
-FILLED, ALWAYS = 30, 0
 #: Bits of a code point in a packed shingle: five fit in 64.
 PACKED = 64 // SHINGLE
 #: Lines whose bands are made at once, so that numpy's arrays stay in the cache.
 AT_ONCE = 400
-#: Lines of a tile in which those of a bucket are compared with each other.
-TILE = 128
+#: Lines whose bands a task gathers before it sends them, and bands that a gathering task holds before it compacts them.
+SENT, HELD = 1 << 16, 1 << 22
+#: Members of a star before it becomes a star of stars.
+STAR = 512
+#: Lines of a tile in which those of a band are compared with each other, and tiles of a band before it is split.
+TILE, SPLIT = 2048, 16
 SPACE = " \t\r\x0b\f"
-_RANDOM = np.random.default_rng(2024)
-_WEIGHTS = _RANDOM.integers(1 << 62, size=SHINGLE, dtype=np.uint64) * 2 + 1
-_MIX = _RANDOM.integers(1 << 62, size=2, dtype=np.uint64) * 2 + 1
 _BINS = BANDS * ROWS
-_BAND_WEIGHTS = _RANDOM.integers(1 << 62, size=(BANDS, ROWS), dtype=np.uint64) * 2 + 1
-_BAND_SEEDS = _RANDOM.integers(1 << 62, size=BANDS, dtype=np.uint64)
-_DONORS = np.stack([_RANDOM.permutation(_BINS) for _ in range(24)])
-_ALL_DONORS = [*_DONORS, *(np.roll(np.arange(_BINS), i) for i in range(1, _BINS))]
 _NONE = np.uint32(0xFFFFFFFF)
 
 
+class Hashes:
+    """Random numbers of one family of bands."""
+
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.weights = rng.integers(1 << 62, size=SHINGLE, dtype=np.uint64) * 2 + 1
+        self.mix = rng.integers(1 << 62, size=2, dtype=np.uint64) * 2 + 1
+        self.band_weights = rng.integers(1 << 62, size=(BANDS, ROWS), dtype=np.uint64) * 2 + 1
+        self.band_seeds = rng.integers(1 << 62, size=BANDS, dtype=np.uint64)
+        self.donors = [*(rng.permutation(_BINS) for _ in range(24)), *(np.roll(np.arange(_BINS), i) for i in range(1, _BINS))]
+
+    def mixed(self, h: np.ndarray) -> np.ndarray:
+        h = h * self.mix[0]
+        h ^= h >> np.uint64(32)
+        h *= self.mix[1]
+        return h ^ (h >> np.uint64(29))
+
+
+FIRST = Hashes(2024)
+
+
 def normal(line: str) -> str:
     return line.strip(SPACE).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z only
 
@@ -108,152 +124,193 @@ class Said:
         return n / (x + y - n) >= LIKENESS
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h * _MIX[0]
-    h ^= h >> np.uint64(32)
-    h *= _MIX[1]
-    return h ^ (h >> np.uint64(29))
-
-
-def bands(lines: list[str]) -> np.ndarray:
-    """The band keys and the sketch (lines x (BANDS + 1)) of normalised lines."""
+def bands(lines: list[str], by: Hashes = FIRST) -> np.ndarray:
+    """The band keys (lines x BANDS) of normalised lines."""
     lines = [x.ljust(SHINGLE, "\0") for x in lines]
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in lines])
     of = np.repeat(np.arange(len(lines)), lengths)
     n = len(codes) - SHINGLE + 1
-    h = codes[:n] * _WEIGHTS[0]
+    h = codes[:n] * by.weights[0]
     for i in range(1, SHINGLE):
-        h += codes[i : i + n] * _WEIGHTS[i]
+        h += codes[i : i + n] * by.weights[i]
     whole = of[:n] == of[SHINGLE - 1 :]
-    h, of = _mixed(h[whole]), of[:n][whole]
+    h, of = by.mixed(h[whole]), of[:n][whole]
     slot = ((h >> np.uint64(40)) * np.uint64(_BINS) >> np.uint64(24)).astype(np.int64)
     first = np.full(len(lines) * _BINS, _NONE)
     np.minimum.at(first, of * _BINS + slot, h.astype(np.uint32))
-    first = first.reshape(-1, _BINS)
-    few = np.count_nonzero(first != _NONE, axis=1) < FILLED
-    full = first.ravel().copy()
+    full = first.copy()
     # Empty slots take the value of a donor slot; only slots that are still empty are looked at again.
     empty = np.nonzero(full == _NONE)[0]
     base, bin_of = empty - empty % _BINS, empty % _BINS
-    for donor in _ALL_DONORS:
+    for donor in by.donors:
         if not len(empty):
             break
-        taken = first.ravel()[base + donor[bin_of]]
+        taken = first[base + donor[bin_of]]
         full[empty] = taken
         left = taken == _NONE
         empty, base, bin_of = empty[left], base[left], bin_of[left]
-    full = full.reshape(-1, _BINS)
     values = full.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    keys = _mixed((values * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) + _BAND_SEEDS)
-    bits = (full[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    sketch = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-    sketch[few] = ALWAYS
-    return np.concatenate([keys, sketch], axis=1)
+    return by.mixed((values * by.band_weights).sum(axis=2, dtype=np.uint64) + by.band_seeds)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line, h, bands`` for each line that isn't blank.
+def _lines(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The place and the normalised bytes of each line of a text that isn't blank."""
+    for i, line in enumerate(data.lower().split(b"\n")):  # of bytes, lower() changes A-Z only
+        if line := line.strip(SPACE.encode()):
+            yield i, line
 
-    bands is null for a line that the task has met before; its bands are then in another row of the same h.
-    """
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, line, h`` for each line that isn't blank."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("line", T.IntegerType()), ("h", T.LongType()), ("bands", T.ArrayType(T.LongType())))])
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("line", T.IntegerType()), ("h", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         hashed = xxhash.xxh64_intdigest
         for batch in batches:
             for part in pieces(batch, 1, 2 << 20):
-                row, text_hash, place, hashes, fresh, new = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    of = hashed(text or "", 42)
-                    for j, line in enumerate((text or "").split("\n")):
-                        if x := normal(line):
-                            h = hashed(x.encode("utf-8", "surrogatepass"), 42)
-                            row.append(i)
-                            text_hash.append(of)
-                            place.append(j)
-                            hashes.append(h)
-                            fresh.append(h not in met)
-                            if fresh[-1]:
-                                met.add(h)
-                                new.append(x)
-                if len(met) > 1_000_000:
-                    met.clear()
-                made = [bands(new[i : i + AT_ONCE]).view(np.int64).ravel() for i in range(0, len(new), AT_ONCE)]
-                keys = np.concatenate(made) if made else np.zeros(0, np.int64)
-                mask = np.array(fresh, bool)
-                ends = np.concatenate(([0], np.cumsum(mask * (BANDS + 1)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~mask)) if len(mask) else pa.array([], pa.list_(pa.int64()))
-                longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), longs(text_hash), pa.array(place, pa.int32()), longs(hashes), lists], schema.names)
+                row, text_hash, place, hashes = [], [], [], []
+                for i, data in enumerate(as_bytes(part.column(1))):
+                    of = hashed(data, 42)
+                    for j, line in _lines(data):
+                        row.append(i)
+                        text_hash.append(of)
+                        place.append(j)
+                        hashes.append(hashed(line, 42))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), _longs(text_hash), pa.array(place, pa.int32()), _longs(hashes)], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _buckets(lines: DataFrame) -> DataFrame:
-    """``key, a, b, sa, sb, pair``: the members b of each bucket of more than one line but the first, and a, the first; with sketches.
+def _stars(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first line of each key (keys, lines), and the others (keys, lines they are linked to, lines)."""
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    again = np.concatenate(([False], key[1:] == key[:-1]))[: len(key)]
+    some = again | np.concatenate((again[1:], [False]))[: len(key)]
+    # Only keys of several lines need an order of the lines, which also tells equal ones.
+    k, x = key[some], h[some]
+    order = np.lexsort((x, k))
+    k, x = k[order], x[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])))[: len(k)]
+    k, x = k[new], x[new]
+    begins = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))
+    place = np.arange(len(k)) - start
+    lead = x[np.where(place % STAR, start + place // STAR * STAR, start)]
+    return np.concatenate((key[~some], k[begins])), np.concatenate((h[~some], x[begins])), k[~begins], lead[~begins], x[~begins]
+
+
+def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``key, a, b``: for each band of more than one line, each line b but one, and a line a that it is linked to."""
+    spark = docs.sparkSession
+    parts = parts or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Band keys are dealt by ranges of their value: the key's part is its place among ``parts`` equal ranges.
+    bounds = np.array([-(-(i << 64) // parts) for i in range(parts)], np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        fresh: list[int] = []
+        made: list[np.ndarray] = []
+        hashed = xxhash.xxh64_intdigest
 
-    pair is set where a bucket is known to hold two lines only; it may be unset where batches of rows meet.
-    """
-    rows = lines.where("bands is not null").select(F.explode(F.slice("bands", 1, BANDS)).alias("key"), "h", F.get("bands", F.lit(BANDS)).alias("sketch"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "h")
+        def flush() -> pa.RecordBatch:
+            key, h, k, lead, x = _stars(np.concatenate(made).ravel(), np.repeat(np.array(fresh, np.uint64), BANDS))
+            order = np.argsort(key)
+            key, h = key[order], h[order]
+            at = [*np.searchsorted(key, bounds).tolist(), len(key)]
+            rows = [(i, True, key[a:b].tobytes() + h[a:b].tobytes()) for i, (a, b) in enumerate(pairwise(at)) if a < b]
+            for a in range(0, len(k), SENT):
+                b = a + SENT
+                rows.append((int(x[a] % np.uint64(parts)), False, k[a:b].tobytes() + lead[a:b].tobytes() + x[a:b].tobytes()))
+            made.clear()
+            fresh.clear()
+            part, alone, said = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(alone), pa.array(said, pa.binary())], ["part", "alone", "said"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_h = first = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, h, sketch = (c.to_numpy() for c in batch.columns)
-            begins = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-            again = np.concatenate(([not begins[0] and h[0] == last_h], ~begins[1:] & (h[1:] == h[:-1])))
-            at = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
-            lead, of = (np.where(at >= 0, x[at], f) for x, f in zip((h, sketch), first or (0, 0), strict=True))
-            out = ~begins & ~again
-            k = key[out]
-            begins = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
-            pair = begins & np.concatenate((begins[1:], [True]))[: len(k)] & (k != key[0]) & (k != key[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, lead[out], h[out], of[out], sketch[out], pair)], ["key", "a", "b", "sa", "sb", "pair"])
-            last_key, last_h, first = key[-1], h[-1], (lead[-1], of[-1])
-
-    return rows.mapInArrow(run, "key long, a long, b long, sa long, sb long, pair boolean")
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, said`` for lines ``(h, doc_id, text_hash, line)``: only the wanted lines of the documents that have some."""
-    places = keep(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "line")).alias("at")), "places")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    side = small_enough(places)
-    rows = rows.join(side, rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["text_hash"] == side["text_hash"]))
+            for part in pieces(batch, 0, 2 << 20):
+                new: list[str] = []
+                for data in as_bytes(part.column(0)):
+                    for _, line in _lines(data):
+                        if (h := hashed(line, 42)) not in met:
+                            met.add(h)
+                            fresh.append(h)
+                            new.append(line.decode("utf-8", "surrogatepass"))
+                made += [bands(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE)]
+                if len(met) > 1_000_000:
+                    met.clear()
+                if len(fresh) >= SENT:
+                    yield flush()
+        if fresh:
+            yield flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        lines: list[np.ndarray] = []
+
+        def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(columns[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)].view(np.int64)) for c in columns], ["key", "a", "b"])
+
+        def compact() -> Iterator[pa.RecordBatch]:
+            key, h, *rest = _stars(np.concatenate(keys), np.concatenate(lines))
+            keys[:], lines[:] = [key], [h]
+            yield from out(*rest)
+
+        held = 0
+        for batch in batches:
+            for alone, said in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = np.frombuffer(said.as_buffer(), np.uint64)
+                if not alone:
+                    yield from out(*data.reshape(3, -1))
+                    continue
+                keys.append(data[: len(data) // 2].copy())
+                lines.append(data[len(data) // 2 :].copy())
+                held += len(data) // 2
+                if held >= HELD + 2 * len(keys[0]):
+                    yield from compact()
+                    held = len(keys[0])
+        if keys:
+            yield from compact()
+
+    sent = docs.select("text").mapInArrow(send, "part int, alone boolean, said binary")
+    return sent.repartition("part").mapInArrow(gather, "key long, a long, b long")
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``h, said`` for lines ``(h, doc_id, text_hash, line)``: only these lines of the documents that have some."""
+    places = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "line")).alias("at"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    rows = rows.join(places.hint("merge"), rows["id"].eqNullSafe(places["doc_id"]) & (rows["hash"] == places["text_hash"]))
     rows = rows.select("at", F.split("text", "\n").alias("lines"))
     said = F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.get("lines", x["line"]).alias("said")))
     return rows.select(F.inline(said)).where("said is not null").dropDuplicates(["h"])
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b, said_a, said_b)`` that are alike enough."""
+def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges ``(a, b)`` whose lines are alike enough."""
+    # A line's text goes to the stars that it is in; of each star the first line comes first.
+    roles = edges.select(F.col("b").alias("h"), F.col("a").alias("star"), F.lit(1).alias("side")).union(edges.select("a", "a", F.lit(0)).distinct())
+    rows = texts.hint("merge").join(roles.hint("merge"), "h").select("star", "side", "h", "said")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, x = None, Said("")
         for batch in batches:
             good = []
-            for a, p, q in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != known:
-                    known, x = a, Said(p)
-                good.append(x.like(Said(q)))
+            for star, side, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if side == 0:
+                    known, x = star, Said(said)
+                good.append(side == 1 and star == known and x.like(Said(said)))
             kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], ["a", "b"])
 
-    return pairs.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long")
-
-
-def _tiled(rows: DataFrame, sizes: DataFrame, *more: str) -> DataFrame:
-    """``group, h, ...``: the rows ``key, h`` of buckets, dealt by pairs of tiles where a bucket is large, sorted by group."""
-    rows = rows.join(sizes.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key").withColumn("tile", F.expr("pmod(xxhash64(h, 11), tiles)").cast("int"))
-    rows = rows.select("key", "h", *more, "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    return rows.select(group.alias("group"), "h", *more).distinct()
+    return rows.repartition("star").sortWithinPartitions("star", "side").mapInArrow(run, "a long, b long")
 
 
 def _grouped(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
@@ -275,64 +332,106 @@ def _grouped(rows: DataFrame, work, columns: list[str], schema: str) -> DataFram
     return rows.repartition("group").sortWithinPartitions("group").select("group", *columns).mapInArrow(run, schema)
 
 
-def _near(sketch: np.ndarray) -> np.ndarray:
-    """For each two of the lines with these sketches, whether they are to be verified."""
-    few = sketch == ALWAYS
-    return (SKETCH - np.bitwise_count(sketch[:, None] ^ sketch[None]) >= SHARED) | few[:, None] | few[None]
-
-
 def _cuts(group: np.ndarray) -> list[int]:
     return np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)])).tolist()
 
 
-def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Edges between roots that span the links among lines of buckets which aren't one component yet.
+def _alike(said: list[str], roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of lines with different roots that are alike enough, by exact counts of shared shingles."""
+    lines = [Said(x) for x in said]
+    sets = [x.grams for x in lines]
+    if any(x is None for x in sets):
+        number: dict[str, int] = {}
+        sets = [np.array([number.setdefault(g, len(number)) for g in x.strings()], np.uint64) for x in lines]
+    sizes = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(lines)), sizes)
+    _, which, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one line only are shared by no pair. The others are bits, a thousand words at a time.
+    shared = many > 1
+    name = np.cumsum(shared) - 1
+    of, which = of[shared[which]], name[which[shared[which]]]
+    bits = np.zeros((len(lines), -(-(int(shared.sum()) or 1) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (of, which >> 6), np.uint64(1) << (which & 63).astype(np.uint64))
+    found_i, found_j = [], []
+    step = max(1, (1 << 21) // (len(lines) * min(bits.shape[1], 1024)))
+    for a in range(0, len(lines), step):
+        both = np.zeros((min(step, len(lines) - a), len(lines)), np.int64)
+        for w in range(0, bits.shape[1], 1024):
+            both += np.bitwise_count(bits[a : a + step, None, w : w + 1024] & bits[None, :, w : w + 1024]).sum(axis=2, dtype=np.int64)
+        near = both >= LIKENESS * (sizes[a : a + step, None] + sizes[None] - both)
+        i, j = np.nonzero(near & (roots[a : a + step, None] != roots[None]))
+        found_i.append(i + a)
+        found_j.append(j)
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _compare(part: pa.Table) -> pa.RecordBatch:
+    """Edges between roots that span the links among the lines of each group (group, root, said)."""
+    group, root, said = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
+    ends: list[list[int]] = [[], []]
+    for a, b in pairwise(_cuts(group)):
+        names, at = np.unique(root[a:b], return_inverse=True)
+        if len(names) > 1:
+            i, j = _alike(said[a:b], at)
+            forest = Forest(len(names))
+            forest.link(at[i], at[j])
+            moved = np.nonzero(forest.root != np.arange(len(names)))[0]
+            ends[0] += names[moved].tolist()
+            ends[1] += names[forest.root[moved]].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
+
+
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """``key, n``: the keys of ``rows (key, h, root)`` with several roots; of those with the same lines, one."""
+    sums = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("h")).alias("p"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("q")
+    )
+    return sums.where("x <> y").groupBy("n", "p", "q").agg(F.min("key").alias("key")).select("key", "n")
 
-    Lines whose sketch is near that of a line of another component are picked by numpy first; only their texts are
-    compared.
-    """
-    buckets = buckets.where(~F.col("pair"))
-    members = buckets.select("key", F.col("b").alias("h"), F.col("sb").alias("sketch")).union(buckets.select("key", "a", "sa").distinct())
-    placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "sketch", F.coalesce("root", "h").alias("root"))
-    sums = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"))
-    # Bands that gather the same lines say the same.
-    sizes = sums.where("n > 2 and x <> y").groupBy("n", "sum").agg(F.min("key").alias("key"))
-
-    def pick(part: pa.Table) -> pa.RecordBatch:
-        group, h, root, sketch = (part.column(i).to_numpy() for i in range(4))
-        near, sketch = np.zeros(len(h), bool), sketch.view(np.uint64)
-        for a, b in pairwise(_cuts(group)):
-            near[a:b] = (_near(sketch[a:b]) & (root[a:b, None] != root[None, a:b])).any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (group, h, root, sketch.view(np.int64))], ["group", "h", "root", "sketch"])
-
-    picked = keep(_grouped(_tiled(placed, sizes, "root", "sketch"), pick, ["h", "root", "sketch"], "group long, h long, root long, sketch long"), "picked")
-    wanted = keep(firsts.join(picked.select("h").distinct(), "h").select("h", "first.*"), "wanted")
-
-    def compare(part: pa.Table) -> pa.RecordBatch:
-        group, h, root, sketch = (part.column(i).to_numpy() for i in range(4))
-        said, sketch, edges = part.column(4).to_pylist(), sketch.view(np.uint64), []
-        for a, b in pairwise(_cuts(group)):
-            same = _near(sketch[a:b]) & (root[a:b, None] < root[None, a:b])
-            lines: dict[int, Said] = {}
-            # What is one component already needs no comparing: as lines are linked, whole components join.
-            _, first, at = np.unique(root[a:b], return_index=True, return_inverse=True)
-            up = first[at].tolist()
-
-            def top(i: int, up: list[int] = up) -> int:
-                while up[i] != i:
-                    up[i] = i = up[up[i]]
-                return i
-
-            for i, j in zip(*(x.tolist() for x in np.nonzero(same)), strict=True):
-                p, q = top(i), top(j)
-                if p != q:
-                    x, y = (lines[k] if k in lines else lines.setdefault(k, Said(said[a + k])) for k in (i, j))
-                    if x.like(y):
-                        up[max(p, q)] = min(p, q)
-                        edges.append((root[a + i], root[a + j]))
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return _grouped(picked.join(_texts(docs, wanted).hint("merge"), "h"), compare, ["h", "root", "sketch", "said"], "a long, b long")
+
+def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
+    """``rows (key, h, root)`` dealt anew: keys are those of further bands within the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = Hashes(2024 + depth)
+        for batch in batches:
+            for part in pieces(batch, 3, 2 << 20):
+                key, h, root = (part.column(i).to_numpy() for i in range(3))
+                made = [bands([normal(x) for x in part.column(3).slice(i, AT_ONCE).to_pylist()], by) for i in range(0, part.num_rows, AT_ONCE)]
+                if made:
+                    new = (np.concatenate(made) ^ FIRST.mixed(key.view(np.uint64))[:, None]).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (new, np.repeat(h, BANDS), np.repeat(root, BANDS))], ["key", "h", "root"])
+
+    return rows.join(texts.hint("merge"), "h").select("key", "h", "root", "said").mapInArrow(run, "key long, h long, root long").distinct()
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, tile: int = TILE, split: int = SPLIT) -> DataFrame:
+    """Edges between roots that span the links among lines of bands which aren't one component yet."""
+    members = buckets.select("key", F.col("b").alias("h")).union(buckets.select("key", "a")).distinct()
+    placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    rows, found, depth, used = keep(placed, "placed"), None, 0, []
+    while True:
+        sizes = keep(_mixed_groups(rows).where("n > 2" if not depth else "n > 1"), "sizes")
+        used += [rows, sizes]
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if not total:
+            break
+        limit = hub_limit(total)
+        last = depth == 3 or most <= tile * split
+        tiles = F.ceil(F.col("n") / tile).cast("int").alias("tiles")
+        few = hub_join(rows, (sizes if last else sizes.where(F.col("n") <= tile * split)).select("key", "n", tiles), "key", "n", limit)
+        few = few.withColumn("tile", F.expr("pmod(xxhash64(h, 11), tiles)").cast("int"))
+        few = few.select("key", "h", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        few = few.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("group"), "h", "root").distinct()
+        compared = _grouped(few.join(texts.hint("merge"), "h"), _compare, ["root", "said"], "a long, b long")
+        found = keep(compared if found is None else found.union(compared), "rest")
+        if last:
+            break
+        depth += 1
+        large = sizes.where(F.col("n") > tile * split)
+        rows = keep(_further(hub_join(rows, large, "key", "n", limit), texts, depth), "further")
+    forget(*used)
+    return keep(buckets.select("a", "b").limit(0), "rest") if found is None else found
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -342,55 +441,66 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.select("node", F.coalesce("to", "root").alias("root")).union(new.join(roots, "node", "left_anti").select("node", "root"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, gone``: the places (from 0) of the lines of each document that repeat an earlier one."""
-    lines = keep(line_table(docs), "lines")
-    place = F.struct("doc_id", "text_hash", "line")
-    firsts = keep(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    buckets = keep(_buckets(lines), "buckets")
-    near = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH - SHARED) | (F.col("sa") == ALWAYS) | (F.col("sb") == ALWAYS)
-    edges = keep(buckets.where(near).select("a", "b").distinct(), "candidates")
+def linked(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``node, root`` for the hashes of the lines of ``docs`` that are linked to others; ``lines`` is their line table."""
+    buckets = keep(_buckets(docs), "buckets")
+    edges = keep(buckets.select("a", "b").distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
-    wanted = keep(firsts.join(nodes, "h").select("h", "first.*"), "wanted")
-    texts = keep(_texts(docs, wanted), "texts")
-    said = lambda c: texts.select(F.col("h").alias(c), F.col("said").alias(f"said_{c}"))
-    good = keep(_verified(edges.join(said("b").hint("merge"), "b").join(said("a").hint("merge"), "a")), "verified")
+    places = lines.join(nodes.hint("merge"), "h").dropDuplicates(["h"])
+    texts = keep(_texts(docs, places), "texts")
+    good = keep(_verified(edges, texts), "verified")
+    forget(edges)
     roots = components(good)
-    rest = keep(_rest(buckets, roots, docs, firsts), "rest")
+    rest = _rest(buckets, roots, texts)
     if not rest.isEmpty():
         roots = keep(_joined(roots, rest), "roots")
-    placed = firsts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("root is not null or n > 1")
-    placed = keep(placed.select("h", F.coalesce("root", "h").alias("root"), "first", "n"), "placed")
-    kept = placed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    doomed = keep(placed.select("h", "root").join(kept, "root").select("h", "kept"), "doomed")
-    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("line") == F.col("kept.line"))
-    gone = lines.select("doc_id", "text_hash", "line", "h").join(doomed.hint("merge"), "h").where(~same)
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines removed from ``text``; adds ``__lines`` and ``__gone`` (their places)."""
-    cut = keep(repeats(docs), "gone")
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    side = small_enough(cut)
-    joined = rows.join(side, rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["__hash"] == side["text_hash"]), "left").select(*[rows[c] for c in docs.columns], F.array_sort(side["gone"]).alias("__gone"))
+    forget(buckets, texts, good, rest)
+    return roots
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, gone``: the places (from 0) of the lines of each document that repeat an earlier one."""
+    lines = keep(line_table(docs), "lines")
+    roots = linked(docs, lines)
+    counts = lines.groupBy("h").agg(F.count("*").alias("n"))
+    named = counts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("root is not null or n > 1")
+    named = keep(named.select("h", "n", F.coalesce("root", "h").alias("root")), "named")
+    found = keep(hub_join(lines, named, "h", "n", hub_limit(lines.count())).select("doc_id", "text_hash", "line", "root"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
+    # A document's places less those that stay, so that no root gathers its lines.
+    marked = found.select("doc_id", "text_hash", "line", F.lit(False).alias("stays")).union(first.select("first.*", F.lit(True)))
+    gone = marked.groupBy("doc_id", "text_hash").agg(*[F.collect_set(F.when(F.col("stays") == x, F.col("line"))).alias(n) for n, x in (("all", False), ("some", True))])
+    gone = keep(gone.select("doc_id", "text_hash", F.array_except("all", "some").alias("gone")).where("size(gone) > 0"), "gone")
+    forget(lines, named, found)
+    return gone
+
+
+def without_repeats(docs: DataFrame, gone: str = "gone", n_lines: str = "n_lines") -> DataFrame:
+    """``docs`` with the repeated lines removed from ``text``; adds the places of those (null: none) and how many lines there were.
+
+    The new columns' names must not be among those of ``docs``.
+    """
+    cut = repeats(docs)
     cols, at = docs.columns, docs.columns.index("text")
+    id_, hash_ = unused(docs, "id"), unused(docs, "hash")
+    side = cut.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.array_sort("gone").alias(gone))
+    joined = docs.join(side.hint("merge"), docs["doc_id"].eqNullSafe(side[id_]) & (F.xxhash64(docs["text"]) == side[hash_]), "left").select(*[docs[c] for c in cols], gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist(), strict=True):
+            for text, out in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
                 counts.append(sum(1 for x in lines if x.strip(SPACE)))
-                if gone:
-                    out = set(gone)
+                if out:
+                    out = set(out)
                     text = "\n".join([x for i, x in enumerate(lines) if i not in out])
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*cols, "__gone", "__lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*cols, gone, n_lines])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__gone", T.ArrayType(T.IntegerType())), T.StructField("__lines", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(gone, T.ArrayType(T.IntegerType())), T.StructField(n_lines, T.IntegerType())])
     return joined.mapInArrow(run, schema)
 
 
@@ -398,8 +508,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id",
-        F.col("__lines").cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-        F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"),
         "text",
     )

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import as_bytes, keep, pieces, table
-from sparkloom.llm.components import components
+from sparkloom.llm.components import Forest, components
 
 SEED = 42
 #: Fingerprints in a tile.
@@ -66,26 +66,6 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-class Forest:
-    """Union-find over the rows of a batch, fed with arrays of links."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        root = self.root
-        while len(i):
-            i, j = root[i], root[j]
-            far = i != j
-            i, j = i[far], j[far]
-            least = np.minimum(i, j)
-            np.minimum.at(root, i, least)
-            np.minimum.at(root, j, least)
-            while not np.array_equal(up := root[root], root):
-                root = up
-        self.root = root
-
-
 def _compare(fp: np.ndarray, rows: np.ndarray, others: np.ndarray | None, radius: int, forest: Forest) -> None:
     """Links rows of one tile with each other, or with those of another tile."""
     pop = np.bitwise_count(fp)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -26,9 +27,11 @@ def test_any_graph(spark, edges):
     assert {r.node: r.root for r in components(rows).collect()} == brute(edges)
 
 
-def test_long_path_and_hub(spark):
-    path = [(i, i + 1) for i in range(200)]
-    hub = [(1000, 1000 + i) for i in range(1, 300)]
-    random.Random(1).shuffle(path)
-    got = {r.node: r.root for r in components(spark.createDataFrame(path + hub, "a long, b long")).collect()}
-    assert set(got.values()) == {0, 1000} and len(got) == 501
+@pytest.mark.parametrize("how", [{}, {"chunk": 50}, {"chunk": 50, "limit": 20}])
+def test_long_path_and_hubs(spark, how):
+    path = [(i, i + 1) for i in range(150)]
+    hub = [(1000, 1000 + i) for i in range(1, 100)] + [(1000 + i, 1300) for i in range(50)] + [(2000 + i, 1300) for i in range(50)]
+    edges = path + hub
+    random.Random(1).shuffle(edges)
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    assert {r.node: r.root for r in components(rows, **how).collect()} == brute(edges)
