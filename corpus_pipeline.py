@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, lines, quality, simhash
-from sparkloom.llm.common import keep, table
+from sparkloom.llm.common import keep, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.without_repeats(docs)
-    lost = F.col("__gone").isNotNull() & (F.size("__gone") >= F.col("__lines"))
+    gone, n_lines = unused(docs, "gone"), unused(docs, "n_lines")
+    left = lines.without_repeats(docs, gone, n_lines)
+    lost = F.col(gone).isNotNull() & (F.size(gone) >= F.col(n_lines))
     left = left.where(~lost)
-    length = F.when(F.col("__gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    length = F.when(F.col(gone).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(docs.columns)
 
 
