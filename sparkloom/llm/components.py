@@ -96,7 +96,9 @@ def components(edges: DataFrame, most_rounds: int = 60, limit: int | None = None
     for _ in range(most_rounds):
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()) if tasks > 1 else None
         if now == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            out._kept_at = edges._kept_at
+            return out
         before, most = now, limit or hub_limit(now[0])
         large = _large_star(edges, most)
         small = _small_star(large, most)

@@ -100,10 +100,10 @@ def grams(line: str) -> np.ndarray | None:
 
 
 class Said:
-    """A line to be verified: its shingles as numbers where they fit, else as a set."""
+    """A normalised line to be verified: its shingles as numbers where they fit, else as a set."""
 
     def __init__(self, line: str) -> None:
-        self.line = normal(line)
+        self.line = line
         self.grams = grams(self.line)
         self.set: set[str] | None = None
 
@@ -284,13 +284,26 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``h, said`` for lines ``(h, doc_id, text_hash, line)``: only these lines of the documents that have some."""
+    """``h, said``: the normalised text of the lines ``(h, doc_id, text_hash, line)``, a row for each or a few."""
     places = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "line")).alias("at"))
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     rows = rows.join(places.hint("merge"), rows["id"].eqNullSafe(places["doc_id"]) & (rows["hash"] == places["text_hash"]))
-    rows = rows.select("at", F.split("text", "\n").alias("lines"))
-    said = F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.get("lines", x["line"]).alias("said")))
-    return rows.select(F.inline(said)).where("said is not null").dropDuplicates(["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for part in pieces(batch, 4, 2 << 20):
+                h, said = [], []
+                for *key, hs, places, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    # The join has brought repeated rows together; one of them will do.
+                    if key != last:
+                        lines = text.split("\n")
+                        h += hs
+                        said += [normal(lines[i]) for i in places]
+                        last = key
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(said, pa.string())], ["h", "said"])
+
+    return rows.select("id", "hash", "at.h", "at.line", "text").mapInArrow(run, "h long, said string")
 
 
 def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -381,12 +394,10 @@ def _compare(part: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
 
 
-def _mixed_groups(rows: DataFrame) -> DataFrame:
-    """``key, n``: the keys of ``rows (key, h, root)`` with several roots; of those with the same lines, one."""
-    sums = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("h")).alias("p"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("q")
-    )
-    return sums.where("x <> y").groupBy("n", "p", "q").agg(F.min("key").alias("key")).select("key", "n")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``key, n, x``: the keys of ``rows (key, h, root)`` with several roots and over two lines, and their least root."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return sums.where("x <> y and n > 2").select("key", "n", "x")
 
 
 def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
@@ -397,7 +408,7 @@ def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, 3, 2 << 20):
                 key, h, root = (part.column(i).to_numpy() for i in range(3))
-                made = [bands([normal(x) for x in part.column(3).slice(i, AT_ONCE).to_pylist()], by) for i in range(0, part.num_rows, AT_ONCE)]
+                made = [bands(part.column(3).slice(i, AT_ONCE).to_pylist(), by) for i in range(0, part.num_rows, AT_ONCE)]
                 if made:
                     new = (np.concatenate(made) ^ FIRST.mixed(key.view(np.uint64))[:, None]).ravel().view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (new, np.repeat(h, BANDS), np.repeat(root, BANDS))], ["key", "h", "root"])
@@ -406,12 +417,20 @@ def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
 
 
 def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, tile: int = TILE, split: int = SPLIT) -> DataFrame:
-    """Edges between roots that span the links among lines of bands which aren't one component yet."""
+    """Edges between roots that span the links among lines of bands which aren't one component yet.
+
+    Bands whose lines' least root is the same are compared together: they are mostly bands of the same lines.
+    """
     members = buckets.select("key", F.col("b").alias("h")).union(buckets.select("key", "a")).distinct()
     placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    rows, found, depth, used = keep(placed, "placed"), None, 0, []
+    placed = keep(placed, "placed")
+    mixed = keep(_mixed(placed), "mixed")
+    limit = hub_limit(mixed.agg(F.sum("n")).first()[0] or 0)
+    rows = keep(hub_join(placed, mixed, "key", "n", limit).select(F.col("x").alias("key"), "h", "root").distinct(), "groups")
+    forget(placed, mixed)
+    found, depth, used = None, 0, []
     while True:
-        sizes = keep(_mixed_groups(rows).where("n > 2" if not depth else "n > 1"), "sizes")
+        sizes = keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "n"), "sizes")
         used += [rows, sizes]
         total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         if not total:
@@ -441,12 +460,12 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.select("node", F.coalesce("to", "root").alias("root")).union(new.join(roots, "node", "left_anti").select("node", "root"))
 
 
-def linked(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``node, root`` for the hashes of the lines of ``docs`` that are linked to others; ``lines`` is their line table."""
+def linked(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``node, root`` for the hashes of the lines of ``docs`` that are linked to others; ``firsts`` has a place of each line."""
     buckets = keep(_buckets(docs), "buckets")
     edges = keep(buckets.select("a", "b").distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
-    places = lines.join(nodes.hint("merge"), "h").dropDuplicates(["h"])
+    places = firsts.join(nodes.hint("merge"), "h")
     texts = keep(_texts(docs, places), "texts")
     good = keep(_verified(edges, texts), "verified")
     forget(edges)
@@ -461,9 +480,9 @@ def linked(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, gone``: the places (from 0) of the lines of each document that repeat an earlier one."""
     lines = keep(line_table(docs), "lines")
-    roots = linked(docs, lines)
-    counts = lines.groupBy("h").agg(F.count("*").alias("n"))
-    named = counts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("root is not null or n > 1")
+    firsts = keep(lines.groupBy("h").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "line")]), "firsts")
+    roots = linked(docs, firsts)
+    named = firsts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("root is not null or n > 1")
     named = keep(named.select("h", "n", F.coalesce("root", "h").alias("root")), "named")
     found = keep(hub_join(lines, named, "h", "n", hub_limit(lines.count())).select("doc_id", "text_hash", "line", "root"), "found")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
@@ -471,7 +490,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     marked = found.select("doc_id", "text_hash", "line", F.lit(False).alias("stays")).union(first.select("first.*", F.lit(True)))
     gone = marked.groupBy("doc_id", "text_hash").agg(*[F.collect_set(F.when(F.col("stays") == x, F.col("line"))).alias(n) for n, x in (("all", False), ("some", True))])
     gone = keep(gone.select("doc_id", "text_hash", F.array_except("all", "some").alias("gone")).where("size(gone) > 0"), "gone")
-    forget(lines, named, found)
+    forget(lines, firsts, named, found)
     return gone
 
 

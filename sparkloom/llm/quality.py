@@ -7,7 +7,8 @@ difference of the two log-densities plus the log prior ratio; the Mahalanobis te
 once and shipped with the scoring function.
 
 Defined results: null and empty texts have all-zero counts and are scored like any other; repeated rows each get
-a row; of several labels of a document the least counts; null labels and labels without a document are ignored.
+a row; of several labels of a document the least counts; null labels and labels without a document are ignored;
+very long texts count whole; an empty table gives no rows; other columns are ignored by the query and kept by ``accepted``.
 With fewer than two rows of a class, every score is the share of class 1 (0.5 without labels).
 """
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_bytes, keep, pieces, table
+from sparkloom.llm.common import as_bytes, forget, keep, pieces, small_enough, table
 
 THRESHOLD = 0.3
 #: Shrinkage of the class covariances to the pooled one, and then to its diagonal.
 TO_POOLED, TO_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
 #: Bounds of the logistic function's argument, so that scores stay within (0, 1).
 MOST_LOGIT = 30.0
+#: Statistics are rounded to multiples of 1 / UNIT. Bits of the lower part of a product of two.
+UNIT, PART = 1 << 20, 25
 
 N_STATS = 16
 _UPPER, _LOWER, _DIGIT = (slice(ord(a), ord(b) + 1) for a, b in ("AZ", "az", "09"))
@@ -45,7 +48,7 @@ def stats(data: bytes) -> list[float]:
     upper, lower, digits = (int(counts[s].sum()) for s in (_UPPER, _LOWER, _DIGIT))
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     share = lambda x, of: math.sqrt(x / of) if of else 0.0
-    return [
+    found = [
         math.log1p(n),
         math.log1p(n / nw) if nw else 0.0,
         share(upper, upper + lower),
@@ -63,6 +66,7 @@ def stats(data: bytes) -> list[float]:
         share(sum(w[:1].isupper() for w in words), nw),
         share(n - int(counts[:128].sum()), n),
     ]
+    return [round(x * UNIT) / UNIT for x in found]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -100,8 +104,14 @@ def fit(x: DataFrame, labels: DataFrame, column: str = "quality") -> Discriminan
     """The discriminant of the vectors ``(doc_id, x)`` for labels ``(doc_id, <column>)`` of 0 and 1."""
     rows = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("y")).join(x, "doc_id")
     at = [(i, j) for i in range(N_STATS) for j in range(i, N_STATS)]
-    sums = [F.sum(F.col("x")[i]) for i in range(N_STATS)] + [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in at]
-    by = {r[0]: r for r in rows.groupBy("y").agg(F.count("*"), *sums).collect()}  # two rows
+    # Statistics are multiples of 1 / UNIT, so sums of whole numbers are the same in any order; products are added in two parts.
+    rows = rows.select("y", F.transform("x", lambda v: (v * UNIT).cast("long")).alias("x"))
+    products = [F.col("x")[i] * F.col("x")[j] for i, j in at]
+    sums = [F.sum(F.col("x")[i]) for i in range(N_STATS)] + [F.sum(F.shiftright(p, PART)) for p in products] + [F.sum(p.bitwiseAND(F.lit((1 << PART) - 1))) for p in products]
+    by = {}
+    for y, many, *totals in rows.groupBy("y").agg(F.count("*"), *sums).collect():  # two rows
+        high, low = totals[N_STATS : N_STATS + len(at)], totals[N_STATS + len(at) :]
+        by[y] = (y, many, *(v / UNIT for v in totals[:N_STATS]), *(((h << PART) + v) / UNIT**2 for h, v in zip(high, low, strict=True)))
     n = [by[c][1] if c in by else 0 for c in (0, 1)]
     if min(n) < 2:
         return Discriminant(math.log((n[1] or 1) / (n[0] or 1)) if sum(n) else 0.0)
@@ -152,7 +162,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with all their columns; only labelled ones are read to fit."""
     training = labels.where(~held_out())
-    model = fit(keep(statistics(docs.join(training.select("doc_id").distinct(), "doc_id", "left_semi")), "statistics"), training)
+    ids = keep(training.select("doc_id").distinct(), "labelled")
+    x = keep(statistics(docs.join(small_enough(ids), "doc_id", "left_semi")), "statistics")
+    model = fit(x, training)
+    forget(ids, x)
     cols, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

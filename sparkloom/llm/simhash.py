@@ -11,8 +11,8 @@ numpy: exclusive-or, bit counts, and again a skip over runs whose population cou
 reports a spanning forest of what it has linked, never all pairs.
 
 Defined results: null or empty text has no words and fingerprint zero, which links like any other; repeated rows
-each get a row; a null doc_id is kept and is never a component's name unless all its ids are null; other columns
-are ignored.
+each get a row; a null doc_id is kept and is never a component's name unless all its ids are null; very long texts
+count whole; an empty table gives no rows; other columns are ignored by the query and kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import as_bytes, keep, pieces, table
+from sparkloom.llm.common import as_bytes, forget, keep, pieces, small_enough, table, unused
 from sparkloom.llm.components import Forest, components
 
 SEED = 42
@@ -147,11 +147,14 @@ def _placed(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -
     """``(doc_id, fp, root, component_id)`` for each document; root is a fingerprint that tells components apart."""
     marked = keep(fingerprints(docs, size), "fingerprints")
     first = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "first")
-    roots = components(links(first.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
-    joined = first.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    roots = components(links(first.select("fp"), radius, tile))
+    joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     names = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = joined.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
-    return marked.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+    names = keep(joined.select("fp", "root").join(names, "root").select("fp", "root", "component_id"), "names")
+    forget(first, roots)
+    out = marked.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+    out._reads = (marked, names)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -159,41 +162,42 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int =
     return _placed(docs, size, radius, tile).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _marked(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with the fingerprint of each row as ``__fp``."""
+def _marked(docs: DataFrame, size: int, fp: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row in a new column ``fp``."""
     cols, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, at):
                 fps = np.array([fingerprint(x, size) for x in as_bytes(part.column(at))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], [*cols, "__fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], [*cols, fp])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component: of those with its least doc_id, that with the least other columns.
 
-    Documents without a doc_id stay, as do all columns.
+    Documents without a doc_id stay, as do all columns; columns of maps, which have no order, don't decide. Only rows
+    whose doc_id repeats are compared by their columns; texts don't move for the others while the list of those that
+    go is small.
     """
     found = _placed(docs.where("doc_id is not null"), size, radius)
-    ids = found.groupBy("doc_id").agg((F.min("root") != F.max("root")).alias("__several"), F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
-    ids = keep(ids.where("named").select("doc_id", "__several"), "ids")
-    rest = [F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"]
-
-    def first(rows: DataFrame, by: str) -> DataFrame:
-        order = Window.partitionBy(by).orderBy("doc_id", *rest)
-        return rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(docs.columns)
-
-    kept = first(docs.join(ids.where("not __several"), "doc_id", "left_semi"), "doc_id")
-    several = ids.where("__several").select("doc_id")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
+    # Rows that stay for their doc_id alone are in neither list.
+    out = keep(ids.where("n > 1 or not named"), "out")
+    several = keep(out.where("n > 1 and named").select("doc_id"), "several")
+    kept = docs.join(small_enough(keep(out.select("doc_id"), "out-ids")), "doc_id", "left_anti").select(docs.columns)
     if not several.isEmpty():
-        # Rows that share a doc_id but not a component are told apart by their fingerprints.
-        named = found.where("doc_id = component_id").join(several, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-        rows = _marked(docs.join(several, "doc_id", "left_semi").select(docs.columns), size)
-        kept = kept.unionByName(first(rows.join(named, ["doc_id", "__fp"]), "__root"))
-    return kept.unionByName(docs.where("doc_id is null"))
+        # Rows that share a doc_id are told apart by their fingerprints: one of each component that they name.
+        fp, root, place = (unused(docs, x) for x in ("fp", "root", "place"))
+        named = keep(found.where("doc_id = component_id").join(several, "doc_id", "left_semi").select("doc_id", F.col("fp").alias(fp), F.col("root").alias(root)).distinct(), "named")
+        rows = _marked(docs.join(small_enough(several), "doc_id", "left_semi").select(docs.columns), size, fp).join(named, ["doc_id", fp])
+        rest = [F.col(f.name).asc_nulls_first() for f in docs.schema.fields if f.name != "doc_id" and "map<" not in f.dataType.simpleString()]
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy("doc_id", *rest))).where(F.col(place) == 1)
+        kept = kept.unionByName(rows.select(docs.columns))
+    forget(*found._reads)
+    return kept
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
