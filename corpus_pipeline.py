@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, lines, quality, simhash
-from sparkloom.llm.common import keep, table, unused
+from sparkloom.llm.common import forget, keep, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, decoded: bool = False) -> DataFrame:
     """All stages over the documents of an input folder; ``decoded`` leaves the digest of the decoded text in."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for at, (name, stage) in enumerate(STAGES):
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if at:
+            forget(before)
     return docs if decoded else docs.drop("decoded_sha256")
