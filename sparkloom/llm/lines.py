@@ -10,7 +10,8 @@ numbers, gathered by ranges of the band's value; lines of a band that meet in a
 band that many lines share doesn't gather in one place. The lines of a band form a star, or a star of stars where
 there are many, and its links are verified first. Where a band's lines are then in more than one component, all of
 them are compared with each other, exactly, in tiles inside a task that reports a spanning forest. So copies,
-however many, cost a star of links, no link between different lines of a band is lost, and no pairs are spread out.
+however many, cost a star of links, no link between different lines of a band is lost, and no pairs are spread out
+but those of bands of ``PAIRED`` lines at most.
 A band that holds more than ``SPLIT`` tiles of lines is split by further, independent bands first.
 
 Defined results: null and empty texts have no lines; blank lines are neither compared nor removed; lines shorter
@@ -38,11 +39,12 @@ SHINGLE, BANDS, ROWS, LIKENESS = 5, 16, 5, 0.8
 #: Bits of a code point in a packed shingle: five fit in 64.
 PACKED = 64 // SHINGLE
 #: Lines whose bands are made at once, so that numpy's arrays stay in the cache.
-AT_ONCE = 400
+AT_ONCE = 128
 #: Lines whose bands a task gathers before it sends them, and bands that a gathering task holds before it compacts them.
 SENT, HELD = 1 << 16, 1 << 22
-#: Members of a star before it becomes a star of stars.
-STAR = 512
+#: Lines of a band that are all paired, lines that a task sends though they share a band (so bands of which it has
+#: sent a star are larger than that), and members of a star before it becomes a star of stars.
+PAIRED, ALONE, STAR = 5, 16, 512
 #: Lines of a tile in which those of a band are compared with each other, and tiles of a band before it is split.
 TILE, SPLIT = 2048, 16
 SPACE = " \t\r\x0b\f"
@@ -55,7 +57,7 @@ class Hashes:
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.weights = rng.integers(1 << 62, size=SHINGLE, dtype=np.uint64) * 2 + 1
+        self.weights = rng.integers(1 << 31, size=SHINGLE, dtype=np.uint32) * 2 + 1
         self.mix = rng.integers(1 << 62, size=2, dtype=np.uint64) * 2 + 1
         self.band_weights = rng.integers(1 << 62, size=(BANDS, ROWS), dtype=np.uint64) * 2 + 1
         self.band_seeds = rng.integers(1 << 62, size=BANDS, dtype=np.uint64)
@@ -87,16 +89,22 @@ def likeness(a: set, b: set) -> float:
 
 def grams(line: str) -> np.ndarray | None:
     """The shingles of a normalised line as sorted distinct numbers, or None where one doesn't fit in 64 bits."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) < SHINGLE or codes.max() >= 1 << PACKED:
+    if line.isascii():
+        codes = np.frombuffer(line.encode(), np.uint8).astype(np.uint64)
+    else:
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if codes.max() >= 1 << PACKED:
+            return None
+    if (n := len(codes) - SHINGLE + 1) < 1:
         return None
-    n = len(codes) - SHINGLE + 1
-    codes = codes.astype(np.uint64)
     out = codes[:n].copy()
     for i in range(1, SHINGLE):
         out |= codes[i : i + n] << np.uint64(PACKED * i)
     out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 class Said:
@@ -127,18 +135,24 @@ class Said:
 def bands(lines: list[str], by: Hashes = FIRST) -> np.ndarray:
     """The band keys (lines x BANDS) of normalised lines."""
     lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(x) for x in lines])
-    of = np.repeat(np.arange(len(lines)), lengths)
     n = len(codes) - SHINGLE + 1
     h = codes[:n] * by.weights[0]
     for i in range(1, SHINGLE):
         h += codes[i : i + n] * by.weights[i]
-    whole = of[:n] == of[SHINGLE - 1 :]
-    h, of = by.mixed(h[whole]), of[:n][whole]
-    slot = ((h >> np.uint64(40)) * np.uint64(_BINS) >> np.uint64(24)).astype(np.int64)
+    # The shifts and factors of a well-known finaliser of 32-bit hashes.
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    # Shingles across the end of a line are none.
+    ends = np.cumsum(lengths)[:-1]
+    h[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = _NONE
+    slot = (h.astype(np.uint64) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
+    slot += np.repeat(np.arange(len(lines)) * _BINS, lengths)[:n]
     first = np.full(len(lines) * _BINS, _NONE)
-    np.minimum.at(first, of * _BINS + slot, h.astype(np.uint32))
+    np.minimum.at(first, slot, h)
     full = first.copy()
     # Empty slots take the value of a donor slot; only slots that are still empty are looked at again.
     empty = np.nonzero(full == _NONE)[0]
@@ -187,8 +201,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _stars(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first line of each key (keys, lines), and the others (keys, lines they are linked to, lines)."""
+def _stars(key: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Lines by key: of keys of over ``least`` lines the first; of others all (keys, lines); and the others' links (keys, lines, lines)."""
     order = np.argsort(key)
     key, h = key[order], h[order]
     again = np.concatenate(([False], key[1:] == key[:-1]))[: len(key)]
@@ -201,13 +215,24 @@ def _stars(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     k, x = k[new], x[new]
     begins = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
     start = np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))
+    size = np.diff(np.concatenate((np.nonzero(begins)[0], [len(k)])))
+    many = np.repeat(size > least, size)
     place = np.arange(len(k)) - start
     lead = x[np.where(place % STAR, start + place // STAR * STAR, start)]
-    return np.concatenate((key[~some], k[begins])), np.concatenate((h[~some], x[begins])), k[~begins], lead[~begins], x[~begins]
+    stay, out = begins | ~many, many & ~begins
+    return np.concatenate((key[~some], k[stay])), np.concatenate((h[~some], x[stay])), k[out], lead[out], x[out]
+
+
+def _pairs(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (keys, lines, lines) of lines that share a key."""
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    found = [(key[d:][same], h[:-d][same], h[d:][same]) for d in range(1, PAIRED) if len(key) > d and (same := key[d:] == key[:-d]).any()]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (key[:0], key[:0], key[:0])
 
 
 def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``key, a, b``: for each band of more than one line, each line b but one, and a line a that it is linked to."""
+    """``key, a, b``: links that join the lines of each band; of bands of up to ``PAIRED`` lines, all pairs."""
     spark = docs.sparkSession
     parts = parts or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Band keys are dealt by ranges of their value: the key's part is its place among ``parts`` equal ranges.
@@ -220,7 +245,7 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
         hashed = xxhash.xxh64_intdigest
 
         def flush() -> pa.RecordBatch:
-            key, h, k, lead, x = _stars(np.concatenate(made).ravel(), np.repeat(np.array(fresh, np.uint64), BANDS))
+            key, h, k, lead, x = _stars(np.concatenate(made).ravel(), np.repeat(np.array(fresh, np.uint64), BANDS), ALONE)
             order = np.argsort(key)
             key, h = key[order], h[order]
             at = [*np.searchsorted(key, bounds).tolist(), len(key)]
@@ -258,8 +283,8 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
             for i in range(0, len(columns[0]), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)].view(np.int64)) for c in columns], ["key", "a", "b"])
 
-        def compact() -> Iterator[pa.RecordBatch]:
-            key, h, *rest = _stars(np.concatenate(keys), np.concatenate(lines))
+        def compact(least: int) -> Iterator[pa.RecordBatch]:
+            key, h, *rest = _stars(np.concatenate(keys), np.concatenate(lines), least)
             keys[:], lines[:] = [key], [h]
             yield from out(*rest)
 
@@ -274,10 +299,11 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 lines.append(data[len(data) // 2 :].copy())
                 held += len(data) // 2
                 if held >= HELD + 2 * len(keys[0]):
-                    yield from compact()
+                    yield from compact(ALONE)
                     held = len(keys[0])
         if keys:
-            yield from compact()
+            yield from compact(PAIRED)
+            yield from out(*_pairs(keys[0], lines[0]))
 
     sent = docs.select("text").mapInArrow(send, "part int, alone boolean, said binary")
     return sent.repartition("part").mapInArrow(gather, "key long, a long, b long")
@@ -395,9 +421,9 @@ def _compare(part: pa.Table) -> pa.RecordBatch:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """``key, n, x``: the keys of ``rows (key, h, root)`` with several roots and over two lines, and their least root."""
+    """``key, n, x``: the keys of ``rows (key, h, root)`` with several roots, whose lines aren't all paired; and their least root."""
     sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    return sums.where("x <> y and n > 2").select("key", "n", "x")
+    return sums.where(f"x <> y and n > {PAIRED}").select("key", "n", "x")
 
 
 def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:

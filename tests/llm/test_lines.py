@@ -146,6 +146,8 @@ def test_tiles_and_further_bands_link_as_one_tile_does(spark):
 def test_stars_of_stars_hold_all_lines(monkeypatch):
     monkeypatch.setattr(lines, "STAR", 4)
     key, h = lines.np.repeat(lines.np.uint64(5), 30), lines.np.arange(30, dtype=lines.np.uint64)
-    keys, first, k, lead, x = lines._stars(lines.np.concatenate([key, key[:1]]), lines.np.concatenate([h, h[:1]]))
+    keys, first, k, lead, x = lines._stars(lines.np.concatenate([key, key[:1]]), lines.np.concatenate([h, h[:1]]), 5)
     assert keys.tolist() == [5] and first.tolist() == [0] and sorted(x.tolist()) == list(range(1, 30))
     assert {a: b for a, b in zip(x.tolist(), lead.tolist(), strict=True)} == {i: i // 4 * 4 if i % 4 else 0 for i in range(1, 30)}
+    assert [len(c) for c in lines._stars(key[:5], h[:5], 5)] == [5, 5, 0, 0, 0]
+    assert sorted(zip(*(c.tolist() for c in lines._pairs(key[:3], h[:3])), strict=True)) == [(5, 0, 1), (5, 0, 2), (5, 1, 2)]
