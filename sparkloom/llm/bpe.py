@@ -10,7 +10,9 @@ space and lower case normalised); its path is a parameter, and only names that r
 given. The file is bounded and read once per worker.
 
 Defined results: null and empty texts have no tokens and decode to the empty string; null ids decode to the
-empty string; special tokens that occur in a text are read as such, as the library does.
+empty string; special tokens that occur in a text are read as such, as the library does; very long texts and words are
+encoded whole (merging takes n log n steps); repeated rows each get a row; an empty table gives no rows; other columns
+are kept, apart from one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import pieces, table
 
@@ -106,22 +110,26 @@ class WordBpe:
         return [self.order[c] for c in chars if c in self.order]
 
     def merge(self, parts: list[int]) -> list[int]:
-        """Exact merging: always the earliest pair, leftmost first."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best = min(((self.rank.get(p, self.n), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == self.n:
-                break
-            pair, out, i = (self.left[best[0]], self.right[best[0]]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    out.append(best[0])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        """Exact merging: always the earliest pair, leftmost first. Pairs wait in a heap, neighbours are links."""
+        parts, n, rank = list(parts), len(parts), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(pairwise(parts)) if (r := rank.get(p)) is not None]
+        heapify(heap)
+        while heap:
+            made, i = heappop(heap)
+            j = after[i]
+            # What was found at a place may have been merged with something else since.
+            if parts[i] < 0 or j >= n or rank.get((parts[i], parts[j])) != made:
+                continue
+            parts[i], parts[j], k, h = made, -1, after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := rank.get((made, parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            if h >= 0 and (r := rank.get((parts[h], made))) is not None:
+                heappush(heap, (r, h))
+        return [x for x in parts if x >= 0]
 
     def merge_all(self, words: list[list[int]]) -> list[list[int]]:
         """Exact merging of many words: a merge of each in turn, in numpy. Words of like length go together."""
@@ -307,13 +315,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*cols, ids])
 
     kept = docs.select(cols)
-    return kept.mapInArrow(run, _with(kept, ids, "array<int>"))
-
+    return kept.mapInArrow(run, _with(kept, ids, T.ArrayType(T.IntegerType())))
 
-def _with(df: DataFrame, name: str, kind: str):
-    from pyspark.sql import types as T
 
-    return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -333,7 +339,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
                 yield pa.RecordBatch.from_arrays([*part.columns, joined], [*cols, text])
 
     kept = docs.select(cols)
-    return kept.mapInArrow(run, _with(kept, text, "string"))
+    return kept.mapInArrow(run, _with(kept, text, T.StringType()))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 import public_tokenizers
@@ -47,3 +48,10 @@ def test_edge_cases(spark):
     assert bpe.encode(rows.limit(0)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [320])], "doc_id long, ids array<int>")
     assert bpe.decode(nulls).first().decoded == ""
+
+
+def test_long_words_without_order():
+    rng = random.Random(3)
+    for chars in ("abcdefghijklmnopqrstuvwxyzé", "ab", "aaaaaaaaab漢字"):
+        word = "".join(rng.choices(chars, k=20_000))
+        assert MODEL.encode([word])[0] == LIBRARY.encode(word, add_special_tokens=False).ids
