@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of the batches that Python workers get and give, so that neither they nor the JVM hold much more than that.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set(BATCH, str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of an input folder, read by Spark so that any store it knows will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +53,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
