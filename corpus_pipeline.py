@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, lines, quality, simhash
-from sparkloom.llm.common import forget, keep, table, unused
+from sparkloom.llm.common import forget, keep, small_batches, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    read = bpe.decode(bpe.encode(docs), text="__decoded").withColumn("n_tokens", F.size("ids").cast("long"))
-    return read.withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
+    small_batches(spark)
+    decoded = unused(docs, "decoded")
+    read = bpe.decode(bpe.encode(docs), text=decoded).withColumn("n_tokens", F.size("ids").cast("long"))
+    return read.withColumn("decoded_sha256", F.sha2(decoded, 256)).drop(decoded)
 
 
 STAGES = [
