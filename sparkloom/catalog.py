@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +15,6 @@ from sparkloom.plans import generated as gen
 from sparkloom.plans.schema import Thresholds
 from sparkloom.sources import files
 
-#: Sources are dealt out before parsing, which costs far more than moving them.
-PARTITIONS = 32
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -37,8 +37,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+def parsed(sources: DataFrame) -> DataFrame:
+    """Sources are dealt out to all cores before parsing, which costs far more than moving them."""
+    return extract.parse(sources, 4 * sources.sparkSession.sparkContext.defaultParallelism)
+
+
 def measured(sources: DataFrame) -> DataFrame:
-    return metrics.measure(extract.functions(extract.parse(sources, PARTITIONS)))
+    return metrics.measure(extract.functions(parsed(sources)))
 
 
 def plain(rows: DataFrame) -> DataFrame:
@@ -68,7 +73,8 @@ CHOSEN = Thresholds(long_loc=20, complex_cyclo=21, conditional_ops=4, few=30)
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers' dataset, with thresholds that every label meets and misses."""
-    return classify.classify(dataset.with_ids(dataset.deduplicate(measured(gen.customer_sources(spark, sf_dir)))), CHOSEN)
+    once = dataset.deduplicate(measured(gen.customer_sources(spark, sf_dir))).persist(StorageLevel.MEMORY_AND_DISK)  # read for the paths' counts, too
+    return classify.classify(dataset.with_ids(once), CHOSEN)
 
 
 @register(
@@ -256,8 +262,8 @@ _STATS = "count(*) AS methods, count(*) FILTER (WHERE is_smelly) AS smelly, coun
 
 @register(LABELLED + f"SELECT *, methods AS files_analyzed, CAST(0 AS BIGINT) AS failures, printf('%.1f%%', 100.0 * clean / methods) AS clean_pct, printf('%.1f%%', 100.0 * smelly / methods) AS smelly_pct FROM (SELECT {_STATS} FROM e)")
 def summary_stats(spark, sf_dir):
-    parsed = extract.parse(gen.customer_sources(spark, sf_dir), PARTITIONS)
-    return query.summary(classify.classify(metrics.measure(extract.functions(parsed)), CHOSEN), parsed)
+    once = parsed(gen.customer_sources(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return query.summary(classify.classify(metrics.measure(extract.functions(once)), CHOSEN), once)
 
 
 @register(
@@ -301,7 +307,7 @@ def parse_failures(spark, sf_dir):
     """A source that doesn't parse is a failure and leaves the others alone."""
     k = F.col("p_partkey") % 3
     source = F.when(k == 0, "f();\nfunction (").when(k == 1, "let a; let a;").otherwise("return 1; function f() {}")
-    return extract.failures(extract.parse(gen.part_sources(spark, sf_dir, source), PARTITIONS))
+    return extract.failures(parsed(gen.part_sources(spark, sf_dir, source)))
 
 
 @register("SELECT 'parts/p' || p_partkey || '.js' AS relative_path, CASE WHEN p_partkey % 2 = 0 THEN 'View' ELSE 'V' || p_size END AS function_name, 'ArrowFunctionExpression' AS function_type, CAST(0 AS BIGINT) AS atfd, CAST(1 AS BIGINT) AS foreign_member_calls, 'items' AS foreign_call_providers FROM part")
@@ -322,5 +328,117 @@ def inline_scripts_pages(spark, sf_dir):
     """Scripts of web pages: how many parse, and their functions."""
     pages = gen.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))).alias("source"))
     sources = files.from_rows(pages, gen.text("page", F.col("page_id"), ".js"), "source", seq="page_id")
-    return extract.parse(sources, PARTITIONS).select("relative_path", F.col("error").isNull().alias("parses"), F.size("functions").cast("long").alias("functions"))
+    return parsed(sources).select("relative_path", F.col("error").isNull().alias("parses"), F.size("functions").cast("long").alias("functions"))
+
+
+
+#: Sources of our own, and by hand: name, type, ATFD, FDP, providers, member calls, their providers, CYCLO of each function.
+GOLDEN = [
+    ("const o = { get v(){ return 1; }, m(){}, k: () => 2 };", [("v", "FunctionExpression", 0, 0, "", 0, "", 1), ("m", "ObjectMethod", 0, 0, "", 0, "", 1), ("k", "ArrowFunctionExpression", 0, 0, "", 0, "", 1)]),
+    (
+        'class A { #p(){} static s = () => 1; [k](){} "q-r"(){} }',
+        [("p", "MethodDefinition", 0, 0, "", 0, "", 1), ("s", "ArrowFunctionExpression", 0, 0, "", 0, "", 1), ("k", "MethodDefinition", 0, 0, "", 0, "", 1), ("q-r", "MethodDefinition", 0, 0, "", 0, "", 1)],
+    ),
+    ("a.b = function(){}; export default function(){}", [("b", "FunctionExpression", 0, 0, "", 0, "", 1), ("anonymous@L1:C36", "FunctionDeclaration", 0, 0, "", 0, "", 1)]),
+    ("const top = (o) => o?.x.y;", [("top", "ArrowFunctionExpression", 2, 1, "o", 0, "", 1)]),
+    ("function f(a){ a?.b?.(); a.c?.d(); }", [("f", "FunctionDeclaration", 1, 1, "a", 2, "a", 1)]),
+    ("function f(){ return foo().x + bar.b().c + [1].length; }", [("f", "FunctionDeclaration", 3, 3, "<expression>|bar|foo", 1, "bar", 1)]),
+    ("function f(t){ new t.K(); t.g`x`; }", [("f", "FunctionDeclaration", 0, 0, "", 2, "t", 1)]),
+    ("function f(s){ return s.repo.save(); }", [("f", "FunctionDeclaration", 1, 1, "s", 1, "s", 1)]),
+    ("function f(q, B, a){ B.x; a.x; q.x; foo()().y; this.f().x; }", [("f", "FunctionDeclaration", 4, 4, "a|B|foo|q", 0, "", 1)]),
+    ("return 1; function f(a){ return a ? 1 : a > 1 ? 2 : 3; }", [("f", "FunctionDeclaration", 0, 0, "", 0, "", 3)]),
+]
+_GOLDEN_COLUMNS = "relative_path function_name function_type atfd fdp foreign_providers foreign_member_calls foreign_call_providers cyclo".split()
+
+
+def _values(rows: list[tuple], columns: list[str]) -> str:
+    """SQL for rows of texts, whole numbers and truths."""
+    quote = chr(39)
+    said = lambda x: str(x).upper() if isinstance(x, bool) else f"CAST({x} AS BIGINT)" if isinstance(x, int) else quote + x.replace(quote, 2 * quote) + quote
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS t({', '.join(columns)})"
+
+
+@register(_values([(f"golden/{i:02}.js", *r) for i, (_, rows) in enumerate(GOLDEN) for r in rows], _GOLDEN_COLUMNS))
+def golden_cases(spark, sf_dir):
+    """Names of members, objects and classes, optional chains, roots that are calls or expressions."""
+    rows = spark.createDataFrame([(f"golden/{i:02}.js", s, i) for i, (s, _) in enumerate(GOLDEN)], "path string, source string, seq long")
+    return plain(measured(files.from_rows(rows, "path", "source", seq="seq")).select(_GOLDEN_COLUMNS))
+
+
+#: Halves that are a little less in binary, and one that is exact.
+TIES = [(3, 2000, "0.1%"), (19, 2000, "0.9%"), (5, 2000, "0.3%"), (1, 3, "33.3%"), (2, 3, "66.7%"), (7, 7, "100.0%"), (0, 0, "0.0%")]
+
+
+@register(_values(TIES, ["part", "whole", "pct"]))
+def percentage_ties(spark, sf_dir):
+    rows = spark.createDataFrame([t[:2] for t in TIES], "part long, whole long")
+    return rows.withColumn("pct", query.percentage(F.col("part"), F.col("whole")))
+
+
+#: Files of a folder and whether a scan of it gives them.
+TREE = {"app/Build/x.js": False, "app/builder/x.js": True, "dist/a.js": False, "a.JSX": True, "b.mjs": True, "c.cjs": True, "d.ts": False, "node_modules/m/i.js": False, "lib/deep/er/z.js": True}
+
+
+def _written(spark: SparkSession) -> str:
+    """The address of a new folder that all executors see and that holds the files of ``TREE``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    root = f"{shared.rstrip('/')}/{uuid.uuid4().hex}/shop"
+    for name in TREE:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(conf).create(path)
+        out.write(bytearray(f"function in_{name.rpartition('/')[2][0]}(a) {{ return a.b; }}\n".encode()))
+        out.close()
+    return root
+
+
+@register(_values([(f"shop/{n}", n.rpartition("/")[2], "shop", f"in_{n.rpartition('/')[2][0]}", 1) for n, kept in TREE.items() if kept], ["relative_path", "file_name", "project", "function_name", "atfd"]))
+def folder_scan(spark, sf_dir):
+    """A folder with all below it: kinds of files, folders that are left out, the project's name, decoded texts."""
+    sources = files.scan(spark, _written(spark), folder=True)
+    return plain(measured(sources).select("relative_path", "file_name", "project", "function_name", "atfd"))
+
+
+@register(_values([("x.js", "javascript-project", "in_x"), ("a.JSX", "javascript-project", "in_a")], ["relative_path", "project", "function_name"]))
+def selected_files(spark, sf_dir):
+    """Single files go by their names; kinds that aren't supported are left out, a file chosen twice counts once."""
+    root = _written(spark)
+    return measured(files.scan(spark, [f"{root}/{n}" for n in ("app/builder/x.js", "a.JSX", "d.ts", "a.JSX")])).select("relative_path", "project", "function_name")
+
+
+_LABEL = "CASE WHEN is_smelly THEN 'SMELLY ' || concat_ws(', ', CASE WHEN is_long_method THEN 'Long Method' END, CASE WHEN is_complex_method THEN 'Complex Method' END, CASE WHEN is_complex_conditional THEN 'Complex Conditional' END, CASE WHEN is_feature_envy THEN 'Feature Envy' END) ELSE 'CLEAN' END"
+_SHARED = "CAST(1 AS BIGINT) AS start_line, span_loc AS end_line, loc, cyclo, CAST(max_nesting AS BIGINT) AS max_nesting, CAST(1 AS BIGINT) AS nop, CAST(1 AS BIGINT) AS nolv, CAST(cond_ops_max AS BIGINT) AS cond_ops_max, CAST(max_nesting AS BIGINT) AS cond_nesting, atfd, CASE WHEN n > 0 THEN '0.000' ELSE '1.000' END AS laa, CAST(fdp AS BIGINT) AS fdp"
+
+
+@register(LABELLED + f"SELECT id, 'javascript-project' AS project, relative_path, function_name, 'FunctionDeclaration' AS function_type, {_SHARED}, CAST(0 AS BIGINT) AS foreign_member_calls, {_LABEL} AS label FROM e")
+def dataset_view(spark, sf_dir):
+    return plain(query.dataset_view(labelled(spark, sf_dir)))
+
+
+@register(
+    LABELLED
+    + f"""SELECT id, function_name, relative_path, {_SHARED}, n AS num_conditions, CASE WHEN n > 0 THEN 'row' ELSE '' END AS providers,
+  'function ' || function_name || '(row) {{' || chr(10) || '  // ' || function_name || chr(10) || chr(10) || '  let total = 0;' || chr(10) ||
+  repeat('  if (row.qty > ' || (k % 7) || ' && row.disc >= 0' || CASE WHEN k % 4 = 0 THEN ' && row.tax' ELSE '' END || ') {{ total += row.price; }}' || chr(10), n) || '  return total;' || chr(10) || '}}' AS source FROM e"""
+)
+def segment_view(spark, sf_dir):
+    return plain(query.segment_view(labelled(spark, sf_dir)))
+
+
+#: What a user types for the threshold of long methods, and the threshold after it.
+INPUTS = [("12", 12), (" 12px", 12), ("0", 31), ("-4", 31), ("x", 31), ("", 31), ("7.9", 7)]
+
+
+@register(CUSTOMERS + f", i AS ({_values(INPUTS, ['said', 'long_loc'])}) SELECT said, long_loc, count(*) FILTER (WHERE loc >= long_loc) AS long_methods FROM m, i GROUP BY said, long_loc")
+def threshold_inputs(spark, sf_dir):
+    """Thresholds from user input, each applied to the same measured rows."""
+    limits = [Thresholds().updated("long_loc", said) for said, _ in INPUTS]
+    counts = classify.sweep(measured(gen.customer_sources(spark, sf_dir)), limits).groupBy("variant").agg(F.count_if("is_long_method").alias("long_methods"))
+    said = spark.createDataFrame([(i, said, t.long_loc) for i, ((said, _), t) in enumerate(zip(INPUTS, limits, strict=True))], "variant int, said string, long_loc long")
+    return said.join(counts, "variant").drop("variant")
+
 
+@register("SELECT CAST(0 AS BIGINT) AS n")
+def page_beyond_the_end(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return query.page(rows, 1 << 20).agg(F.count("*").alias("n"))

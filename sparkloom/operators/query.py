@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.sink import fixed
 from sparkloom.plans.schema import PAGE, SMELLS
 from sparkloom.sources.files import trimmed
 
@@ -18,11 +19,16 @@ def found(query: str) -> Column:
     return (said == "") | F.contains(F.lower(F.concat_ws(" ", "relative_path", "function_name")), said)
 
 
-def select(rows: DataFrame, status: str = "all", smell: str = "all", search: str = "") -> DataFrame:
+def chosen(status: str = "all", smell: str = "all", search: str = "") -> Column:
+    out = F.lit(True)
     for choice, of in ((status, STATUS), (smell, SMELL)):
         if of[choice]:
-            rows = rows.where(of[choice])
-    return rows.where(found(search)) if search else rows
+            out = out & F.expr(of[choice])
+    return out & found(search) if search else out
+
+
+def select(rows: DataFrame, status: str = "all", smell: str = "all", search: str = "") -> DataFrame:
+    return rows.where(chosen(status, smell, search))
 
 
 def _counts() -> list[Column]:
@@ -35,7 +41,8 @@ def stats(rows: DataFrame) -> DataFrame:
 
 
 def percentage(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, "0.0%").otherwise(F.format_string("%.1f%%", F.try_divide(part, whole) * 100))
+    """With one decimal, rounded by the exact binary value: 3 of 2,000 are 0.1%, since 0.15 is a little less."""
+    return F.concat(fixed(F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0)), 1), F.lit("%"))
 
 
 def summary(rows: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def distribution(rows: DataFrame) -> DataFrame:
 
 def shown_of_total(rows: DataFrame, **choice: str) -> DataFrame:
     """``shown, total``, and both with thousands separated."""
-    out = select(rows, **choice).agg(F.count("*").alias("shown")).crossJoin(rows.agg(F.count("*").alias("total")))  # one row each
+    out = rows.agg(F.count_if(chosen(**choice)).alias("shown"), F.count("*").alias("total"))
     return out.withColumns({"shown_text": F.format_number("shown", 0), "total_text": F.format_number("total", 0)})
 
 
@@ -71,14 +78,10 @@ def badge() -> Column:
 
 
 def dataset_view(rows: DataFrame) -> DataFrame:
-    from sparkloom.operators.sink import fixed
-
     columns = "id project relative_path function_name function_type start_line end_line loc cyclo max_nesting nop nolv cond_ops_max cond_nesting atfd".split()
     return rows.select(*columns, fixed(F.col("laa"), 3).alias("laa"), "fdp", "foreign_member_calls", badge().alias("label"))
 
 
 def segment_view(rows: DataFrame) -> DataFrame:
-    from sparkloom.operators.sink import fixed
-
     columns = "id function_name relative_path start_line end_line loc cyclo max_nesting nop nolv cond_ops_max cond_nesting num_conditions atfd".split()
     return rows.select(*columns, fixed(F.col("laa"), 3).alias("laa"), "fdp", F.array_join("foreign_providers", ", ").alias("providers"), "source")

@@ -48,5 +48,8 @@ def csv_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One text file with all lines in order, as a download would be; Spark sorts before a single task writes."""
-    csv_rows(rows).orderBy("ordinal").select("line").coalesce(1).write.option("lineSep", "\r\n").text(path)
+    """Text files of the lines in order: joined by their names' order, they are the file that a download gives.
+
+    The lines are dealt out by ranges of their ordinal, so each task sorts and writes its share.
+    """
+    csv_rows(rows).orderBy("ordinal").select("line").write.option("lineSep", "\r\n").text(path)

@@ -94,7 +94,7 @@ def test_csv(spark, tmp_path):
     result = analyze(rows_of(spark, ('src/"q",x.js', 'const x = { "a,b"() {} };')), persist=False).methods
     result = result.withColumn("project", F.lit('say "hi"'))
     sink.write_csv(result, str(tmp_path / "out"))
-    data = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
     head, line, end = data.decode().split("\r\n")
     assert end == "" and head.split(",")[8:11] == ["SPAN_LOC", "COMMENT_LINES", "BLANK_LINES"] and len(head.split(",")) == 31
     assert line.startswith('M-000001,"say ""hi""","src/""q"",x.js","a,b",ObjectMethod,1,1,1,1,0,0,1,0,0,0,0,0,0,0,1.0000,0,,0,,0,0,0,0,0,0,')
@@ -117,6 +117,8 @@ def test_pages_filters_and_counts(spark):
     assert query.select(rows, "smelly", "long").count() == 0 and query.select(rows, "clean", "long").count() == 125
     assert query.stats(rows).first().asDict() == {"methods": 250, "smelly": 125, "clean": 125, "long": 125, "complex": 83, "conditional": 62, "envy": 50}
     assert [r.pct for r in query.distribution(rows.limit(0)).collect()] == ["0.0%"] * 4
+    ties = spark.createDataFrame([(3, 2000), (19, 2000), (5, 2000), (2, 3), (0, 0)], "part long, whole long")
+    assert [r[0] for r in ties.select(query.percentage(F.col("part"), F.col("whole"))).collect()] == ["0.1%", "0.9%", "0.3%", "66.7%", "0.0%"]
     shown = query.shown_of_total(rows, smell="envy").first()
     assert (shown.shown, shown.total) == (50, 250)
 
@@ -148,7 +150,7 @@ def test_stream(spark, tmp_path):
     assert [(r.function_name, r.cyclo) for r in spark.sql("SELECT * FROM methods").collect()] == [("f", 2)]
 
 
-@pytest.mark.parametrize("name", ["method_metrics_orders", "cyclomatic_variants", "locality", "csv_rows", "smell_distribution", "filter_clean", "parse_failures"])
+@pytest.mark.parametrize("name", ["method_metrics_orders", "cyclomatic_variants", "locality", "csv_rows", "smell_distribution", "filter_clean", "parse_failures", "summary_stats", "shown_of_total", "golden_cases", "percentage_ties", "folder_scan", "selected_files", "dataset_view", "segment_view", "threshold_inputs", "page_beyond_the_end"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
