@@ -1,10 +1,11 @@
 """Web archives in ZIP packages: written, and read by range without extraction.
 
-A package is a ZIP file with stored (uncompressed) members: ``archive/data.warc.gz``, whose records are gzip
-members of their own, and ``indexes/index.cdx``, one line of JSON a record with its place in that member. The
-reader parses the end record, the ZIP64 record and locator where sizes or counts need them, the central directory
-and the local headers, finds the stored members and their indexes, and reads records by byte ranges. Packages
-lie in any store that pyarrow's file systems know; every task opens it by its address.
+A package is a ZIP file with stored (uncompressed) members: archives below ``archive/``, whose records are gzip members
+of their own or plain, and indexes below ``indexes/``, with a line for each record that ends in JSON and gives its
+archive, offset and length. Ours have one archive and one index; the reader takes any number of both, and indexes that
+are compressed (``.gz``, or deflated in the package). It parses the end record, the ZIP64 record and locator where sizes or
+counts need them, the central directory and the local headers, finds the stored archives and their indexes, and reads
+records by byte ranges. Packages lie in any store that pyarrow's file systems know; every task opens it by its address.
 
 Of records with equal payloads of at least ``least`` bytes, that with the greatest id is a response and the others
 are revisits that refer to it; shorter payloads are all responses.
@@ -14,7 +15,8 @@ read.
 
 Defined results: null html is an empty payload; a null url is an empty one, and white space in it is percent-encoded; repeated rows each get a record (those
 with the greatest id are all responses); a null id is kept and never referred to; an empty table gives no
-packages and no rows; other columns are ignored.
+packages and no rows; very long payloads are one record and one range; other columns are ignored. Records of others
+whose ids aren't ours have none; records that are neither responses nor revisits are left out.
 """
 
 from __future__ import annotations
@@ -34,15 +36,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_bytes, keep, new_path, pieces, table
+from sparkloom.llm.common import as_bytes, hub_join, hub_limit, keep, new_path, pieces, small_enough, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVES, INDEXES = re.compile(r"archive/.+\.warc(\.gz)?"), re.compile(r"indexes/.+\.cdxj?(\.gz)?")
 #: Fixed values of the ZIP format: signatures, and the greatest values before ZIP64.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 MOST32, MOST16 = 0xFFFFFFFF, 0xFFFF
-#: Bytes of records that a reading task takes at once, and records a package has at most.
-RANGE = 4 << 20
+#: Bytes of a range of records, ranges that a task reads at least, and bytes of records that a package has at most.
+RANGE, RANGES = 4 << 20, 2
 PACKAGE = 64 << 20
+#: Most tasks that ranges are dealt out to.
+TASKS = 100_000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -87,12 +92,13 @@ def parse_record(data: bytes) -> dict:
     headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
     block = rest[: int(headers["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    return {"headers": headers, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
+    fields = [x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:]]
+    return {"headers": headers, "http": {k: v.strip() for k, _, v in fields}, "payload": payload}
 
 
 def _urn(value: str) -> int | None:
-    number = value.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", value)
+    return int(found[1]) if found else None
 
 
 # -- packages
@@ -134,7 +140,7 @@ def write_package(address: str, records: Iterator[tuple[int, bytes]], zip64: boo
     parts, lines, at, crc = [], [], 0, 0
     for page_id, data in records:
         packed = gzip.compress(data, 6, mtime=0)
-        lines.append(json.dumps({"id": page_id, "offset": at, "length": len(packed)}))
+        lines.append(json.dumps({"id": page_id, "filename": DATA.rpartition("/")[2], "offset": at, "length": len(packed)}))
         parts.append(packed)
         at += len(packed)
         crc = zlib.crc32(packed, crc)
@@ -219,12 +225,25 @@ class Package:
             raise ValueError(f"no local header of {name}")
         return offset + 30 + head[9] + head[10], packed
 
-    def index(self) -> Iterator[tuple[int, int, int]]:
-        """(id, offset in the package, length) of each record."""
-        base, _ = self.place(DATA)
-        for line in self.read(*self.place(INDEX)).splitlines():
-            x = json.loads(line)
-            yield x["id"], base + x["offset"], x["length"]
+    def member(self, name: str) -> bytes:
+        """A member's bytes in full; it may be deflated."""
+        method, offset, packed, _ = self.members[name]
+        head = struct.unpack("<IHHHHHIIIHH", self.read(offset, 30))
+        data = self.read(offset + 30 + head[9] + head[10], packed)
+        return zlib.decompress(data, -15) if method == 8 else data
+
+    def index(self) -> Iterator[tuple[int, int]]:
+        """(offset in the package, length) of each record that an index names, archive by archive."""
+        places = {name.rpartition("/")[2]: self.place(name)[0] for name in self.members if ARCHIVES.fullmatch(name)}
+        found = set()
+        for name in sorted(self.members):
+            if INDEXES.fullmatch(name):
+                data = self.member(name)
+                for line in (gzip.decompress(data) if name.endswith(".gz") else data).splitlines():
+                    if (at := line.find(b"{")) >= 0 and "offset" in (x := json.loads(line[at:])):
+                        file = x.get("filename", "").rpartition("/")[2] or next(iter(places))
+                        found.add((places[file] + int(x["offset"]), int(x["length"])))
+        return iter(sorted(found))
 
 
 # -- on Spark
@@ -238,9 +257,14 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     store.create_dir(path, recursive=True)
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("body"), F.sha1(html).alias("sha"), F.octet_length(html).alias("n"))
-    # Only groups of more than one need to be told of; the rows of a group are counted before they move.
-    groups = rows.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("many")).where("many > 1").drop("many")
-    rows = rows.join(groups, ["sha", "n"], "left").select("page_id", "url", "body", "last")
+    # Only groups of more than one need to be told of. While their list is small, and for large groups whatever its
+    # size, rows are told of them where they are, so equal payloads don't meet in a task.
+    rows = rows.withColumn("equal", F.concat_ws(" ", "sha", "n"))
+    counts = rows.where(F.col("n") >= least).groupBy("equal").agg(F.max("page_id").alias("last"), F.count("*").alias("many"))
+    groups = keep(counts.where("many > 1"), "groups")
+    side = small_enough(groups)
+    rows = rows.join(side, "equal", "left") if side is not groups else hub_join(rows, groups, "equal", "many", hub_limit(pages.count()), "left")
+    rows = rows.select("page_id", "url", "body", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: list[tuple[str, int]] = []
@@ -279,13 +303,15 @@ def read_archives(packages: DataFrame) -> DataFrame:
             found: list[tuple[str, int, list[int]]] = []
             for address in batch.column(0).to_pylist():
                 with Package(address) as package:
-                    at, lengths = 0, []
-                    for _, offset, length in package.index():
-                        if lengths and sum(lengths) + length > RANGE:
+                    at, lengths, size = 0, [], 0
+                    for offset, length in package.index():
+                        # A range is of records that follow one another.
+                        if lengths and (offset != at + size or size + length > RANGE):
                             found.append((address, at, lengths))
-                            lengths = []
+                            lengths, size = [], 0
                         at = offset if not lengths else at
                         lengths.append(length)
+                        size += length
                     if lengths:
                         found.append((address, at, lengths))
             yield pa.RecordBatch.from_arrays(
@@ -301,25 +327,30 @@ def read_archives(packages: DataFrame) -> DataFrame:
                 with Package(address) as package:
                     data, pos, out = package.read(at, sum(lengths)), 0, []
                     for n in lengths:
-                        x = parse_record(gzip.decompress(data[pos : pos + n]))
+                        said = data[pos : pos + n]
+                        x = parse_record(gzip.decompress(said) if said[:2] == b"\x1f\x8b" else said)
                         pos += n
                         h, revisit = x["headers"], x["headers"]["WARC-Type"] == "revisit"
+                        if not revisit and h["WARC-Type"] != "response":
+                            continue
                         out.append(
                             (
                                 _urn(h["WARC-Record-ID"]),
-                                h["WARC-Target-URI"],
+                                h.get("WARC-Target-URI"),
                                 h["WARC-Type"],
-                                _urn(h["WARC-Refers-To"]) if revisit else None,
+                                _urn(h.get("WARC-Refers-To", "")) if revisit else None,
                                 None if revisit else x["payload"],
-                                h["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(x["payload"]),
-                                int(x["http"]["Content-Length"]) if revisit else len(x["payload"]),
+                                h.get("WARC-Payload-Digest", "").removeprefix("sha1:") if revisit else digest(x["payload"]),
+                                int(x["http"].get("Content-Length", 0)) if revisit else len(x["payload"]),
                             )
                         )
                     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
-    ranges = packages.select("address").repartition("address").mapInArrow(find, "address string, at long, lengths array<long>")
-    return ranges.repartition(F.xxhash64("address", "at")).mapInArrow(read, schema)
+    many = max(1, min(TASKS, packages.count()))
+    ranges = keep(packages.select("address").repartition(many).mapInArrow(find, "address string, at long, lengths array<long>"), "ranges")
+    # Tasks in proportion to the bytes; a plain shuffle of these few small rows would be merged into one.
+    return ranges.repartition(max(1, min(TASKS, -(-ranges.count() // RANGES)))).mapInArrow(read, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
