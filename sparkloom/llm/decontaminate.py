@@ -10,7 +10,8 @@ Tables that depend on the benchmark alone or on survivors are written to the sha
 sizes are known: small ones are broadcast, and the others are joined by shuffling.
 
 Defined results: null and empty texts have no words; repeated rows each get a row; null item_ids count for hits but
-not as items; an empty benchmark finds nothing; other columns are ignored.
+not as items; an empty benchmark finds nothing; an empty table gives no rows; very long texts are searched whole; other
+columns are ignored by the query and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, small_enough, table
+from sparkloom.llm.common import keep, small_enough, table, unused
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -115,8 +116,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
     rows, _ = matches(docs, benchmark, window)
-    hit = keep(rows.where(F.size("found") > 0).select(F.col("doc").alias("__doc")).distinct(), "hit")
-    return docs.withColumn("__doc", row_key()).join(small_enough(hit), "__doc", "left_anti").select(docs.columns)
+    doc = unused(docs, "doc")
+    hit = keep(rows.where(F.size("found") > 0).select(F.col("doc").alias(doc)).distinct(), "hit")
+    return docs.withColumn(doc, row_key()).join(small_enough(hit), doc, "left_anti").select(docs.columns)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:

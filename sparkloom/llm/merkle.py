@@ -15,7 +15,8 @@ width, each bucket is sorted by itself, and the first row of each bucket is copi
 
 Defined results: null text is empty and has no leaves; two trees without leaves are alike (1), one of them gives
 0; repeated ids are in order of their texts, and each is followed by the next row; a null id comes first; a single
-row is followed by itself; an empty table gives no rows; other columns are ignored.
+row is followed by itself; an empty table gives no rows; very long texts are hashed whole; ids are whole numbers; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ worker remembers the counts of words.
 Vocabularies are rank files (a base64 token and a number a line); the path is a parameter. A word with bytes that
 no piece covers counts as one unknown piece.
 
-Defined results: null and empty texts have no words and no pieces; repeated rows each get a row; other columns
-are ignored.
+Defined results: null and empty texts have no words and no pieces; very long texts and words are read whole; repeated
+rows each get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -66,3 +66,10 @@ def test_proximity(spark):
     items = spark.createDataFrame([(5, "alpha beta gamma", "")], BENCH)
     assert {(r.doc_id, r.item_id) for r in dc.proximity_matches(docs, items, slop=2).collect()} == {(1, 5), (3, 5)}
     assert {r.doc_id for r in dc.proximity_matches(docs, items, slop=0).collect()} == {3}
+
+
+def test_clean_keeps_columns_whatever_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 5, "x"), (2, "z", 6, "y"), (None, None, 7, "z")], "doc_id long, text string, __doc int, doc string")
+    bench = spark.createDataFrame([(9, "a b c d e f g h i j")], "item_id long, text string")
+    out = dc.clean(docs, bench)
+    assert out.columns == docs.columns and sorted((r["__doc"], r.doc) for r in out.collect()) == [(6, "y"), (7, "z")]

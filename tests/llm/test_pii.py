@@ -106,3 +106,10 @@ def test_area_codes_below_200(spark):
     assert got[0].text[9] in "01" and got[5].text != texts[5] and got[0].text != texts[0] and len(got[0].text) == len(texts[0])
     assert "".join(c for c in got[1].text if c.isdigit())[1:] == got[2].text.replace("-", "")
     assert [r.text for r in run(spark, [r.text for r in got], reverse=True)] == texts
+
+
+def test_scratch_names_keep_apart(spark):
+    docs = spark.createDataFrame([(1, "mail alice99@b.org", 5, 6, "k")], "doc_id long, text string, found int, valid int, kinds string")
+    out = pii.pseudonymise(docs)
+    r = out.first()
+    assert (r.found, r.valid, r.n_values, r.kinds) == (5, 6, 1, "email") and "alice99" not in r.text
