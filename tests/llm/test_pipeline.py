@@ -52,3 +52,24 @@ def test_last_stage_decodes(spark):
         want = tokenizer.decode(list(r.ids), skip_special_tokens=False)
         assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert got[1].text == "Hello there, World" and got[1].n_tokens > 0
+
+
+def test_stages_on_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string, n_lines int, fp int, root int, doc int, decoded string"
+    more = ("en", "s", 1, "g", 1, 2, 3, 4, "d")
+    line = "The quick brown fox jumps over the lazy dog near the old river bank, and then it rests."
+    rows = [(1, "", *more), (2, None, *more), (None, line, *more), (3, line, *more), (3, line, *more), (4, "word " * 60_000, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(cp.STAGES)
+    lined = stages["line dedup"](spark, docs, SF)
+    assert lined.columns == docs.columns
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert got == {1: "", 2: None, None: line, 4: rows[-1][1]}  # a null id comes first, and both rows of 3 were only repeats
+    single = stages["SimHash near-dedup"](spark, docs, SF)
+    assert single.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 4]  # 1 and 2 share fingerprint zero, one row of 3 stays
+    assert sorted(r.doc_id or 0 for r in stages["benchmark decontamination"](spark, docs, SF).collect()) == [0, 1, 2, 3, 3, 4]
+    assert {c.n_tokens for c in stages["BPE encoding and decoding"](spark, docs, SF).collect()} >= {0, 60_000}
+    for name in ("line dedup", "SimHash near-dedup", "benchmark decontamination", "quality classifier"):
+        out = stages[name](spark, docs.limit(0), SF)
+        assert out.count() == 0 and out.columns == docs.columns
