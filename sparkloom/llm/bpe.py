@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import pieces, table
+from sparkloom.llm.common import pieces, released, table
 
 #: The white space that the normaliser knows, and the pattern that splits words.
 SPACES = r"\t\n\x0b\f\r \x85\xa0  -     　"
@@ -305,6 +305,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     cols = [c for c in docs.columns if c != ids]
     at = cols.index(text)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
@@ -328,6 +329,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
     cols = [c for c in docs.columns if c != text]
     at = cols.index(ids)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(_model(path).names, pa.string())
         for batch in batches:

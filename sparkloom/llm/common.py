@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +100,22 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
             yield part
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which the worker gives free memory back to the system.
+
+    Workers stay for the next tasks, so what their allocators hold on to would stand beside the JVM's own work.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+            trim(0)
+
+    return whole
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 of each string, nulls as empty."""
     return [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]

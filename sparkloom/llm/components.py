@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import forget, hub_join, hub_limit, keep
+from sparkloom.llm.common import forget, hub_join, hub_limit, keep, released
 
 #: Edges that a task contracts.
 CHUNK = 1 << 20
@@ -48,6 +48,7 @@ class Forest:
 def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
     """Edges (a > b) that span what ``tasks`` tasks find connected in their share of ``edges``."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
         nodes, at = np.unique(np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64), return_inverse=True)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import as_bytes, forget, hub_join, hub_limit, keep, pieces, table, unused
+from sparkloom.llm.common import as_bytes, forget, hub_join, hub_limit, keep, pieces, released, table, unused
 from sparkloom.llm.components import Forest, components
 
 #: 21 bands of 6 values miss as few links of 0.8 as 16 of 5 (0.17 %), and half as many pairs of 0.4 share one.
@@ -185,6 +185,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("line", T.IntegerType()), ("h", T.LongType())))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh64_intdigest
         for batch in batches:
@@ -239,6 +240,7 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
     # Band keys are dealt by ranges of their value: the key's part is its place among ``parts`` equal ranges.
     bounds = np.array([-(-(i << 64) // parts) for i in range(parts)], np.uint64)
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         fresh: list[int] = []
@@ -276,6 +278,7 @@ def _buckets(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if fresh:
             yield flush()
 
+    @released
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         lines: list[np.ndarray] = []
@@ -316,6 +319,7 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     rows = rows.join(places.hint("merge"), rows["id"].eqNullSafe(places["doc_id"]) & (rows["hash"] == places["text_hash"]))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -339,6 +343,7 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     roles = edges.select(F.col("b").alias("h"), F.col("a").alias("star"), F.lit(1).alias("side")).union(edges.select("a", "a", F.lit(0)).distinct())
     rows = texts.hint("merge").join(roles.hint("merge"), "h").select("star", "side", "h", "said")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, x = None, Said("")
         for batch in batches:
@@ -356,6 +361,7 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
     """``work(columns)`` over whole groups: several at once, as they come, sorted by ``group``."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -430,6 +436,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 def _further(rows: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
     """``rows (key, h, root)`` dealt anew: keys are those of further bands within the key."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Hashes(2024 + depth)
         for batch in batches:
@@ -532,6 +539,7 @@ def without_repeats(docs: DataFrame, gone: str = "gone", n_lines: str = "n_lines
     side = cut.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.array_sort("gone").alias(gone))
     joined = docs.join(side.hint("merge"), docs["doc_id"].eqNullSafe(side[id_]) & (F.xxhash64(docs["text"]) == side[hash_]), "left").select(*[docs[c] for c in cols], gone)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_bytes, forget, keep, pieces, small_enough, table
+from sparkloom.llm.common import as_bytes, forget, keep, pieces, released, small_enough, table
 
 THRESHOLD = 0.3
 #: Shrinkage of the class covariances to the pooled one, and then to its diagonal.
@@ -72,6 +72,7 @@ def stats(data: bytes) -> list[float]:
 def statistics(docs: DataFrame) -> DataFrame:
     """``(doc_id, x)``: each document's vector."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
@@ -137,6 +138,7 @@ def fit(x: DataFrame, labels: DataFrame, column: str = "quality") -> Discriminan
 def score(x: DataFrame, model: Discriminant) -> DataFrame:
     """``(doc_id, score)`` for each vector."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -168,6 +170,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forget(ids, x)
     cols, at = docs.columns, docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, at):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import as_bytes, forget, keep, pieces, small_enough, table, unused
+from sparkloom.llm.common import as_bytes, forget, keep, pieces, released, small_enough, table, unused
 from sparkloom.llm.components import Forest, components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(data: bytes, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp)`` for each document; fp is the fingerprint as a signed long."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
@@ -123,6 +124,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     )
     rows = rows.select("fp", F.inline(dealt)).select("group", "fp", "side").repartition("group").sortWithinPartitions("group")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
@@ -166,6 +168,7 @@ def _marked(docs: DataFrame, size: int, fp: str) -> DataFrame:
     """``docs`` with the fingerprint of each row in a new column ``fp``."""
     cols, at = docs.columns, docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, at):

@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import as_bytes, pieces, table
+from sparkloom.llm.common import as_bytes, pieces, released, table
 
 #: Words remembered by a worker.
 REMEMBERED = 400_000
@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_words, n_tokens)`` of each document's whole text."""
     path = path or default_vocabulary()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:

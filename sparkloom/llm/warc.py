@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_bytes, hub_join, hub_limit, keep, new_path, pieces, small_enough, table
+from sparkloom.llm.common import as_bytes, hub_join, hub_limit, keep, new_path, pieces, released, small_enough, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVES, INDEXES = re.compile(r"archive/.+\.warc(\.gz)?"), re.compile(r"indexes/.+\.cdxj?(\.gz)?")
@@ -266,6 +266,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.join(side, "equal", "left") if side is not groups else hub_join(rows, groups, "equal", "many", hub_limit(pages.count()), "left")
     rows = rows.select("page_id", "url", "body", "last")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: list[tuple[str, int]] = []
         held: list[tuple[int, bytes]] = []
@@ -298,6 +299,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
     Directories and indexes come first; the ranges of records that they give are then dealt out to tasks.
     """
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[str, int, list[int]]] = []
@@ -321,6 +323,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_digest string, payload_bytes long"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @released
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for address, at, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
