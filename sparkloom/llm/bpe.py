@@ -299,28 +299,46 @@ def _model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` as an array; a column of that name is replaced."""
+def _with(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])
+
+
+def _ids(model: WordBpe, texts: pa.Array) -> pa.Array:
+    found = model.encode([t or "" for t in texts.to_pylist()])
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
+
+
+def _said(names: pa.Array, ids: pa.Array) -> pa.Array:
+    lengths = np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.take(ids.flatten())), " ")
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of ``text`` as an array; a column of that name is replaced.
+
+    ``decoded`` names a further column for the text that the ids decode to, made in the same workers, so that only
+    one a task holds the vocabulary.
+    """
     path = path or default_vocabulary()
-    cols = [c for c in docs.columns if c != ids]
+    kinds = {ids: T.ArrayType(T.IntegerType()), **({decoded: T.StringType()} if decoded else {})}
+    cols = [c for c in docs.columns if c not in kinds]
     at = cols.index(text)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
+        names = pa.array(model.names, pa.string())
         for batch in batches:
-            for part in pieces(batch, at, 4 << 20):
-                found = model.encode([t or "" for t in part.column(at).to_pylist()])
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.fromiter((i for x in found for i in x), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*cols, ids])
+            for part in pieces(batch, at, 2 << 20):
+                made = [_ids(model, part.column(at))]
+                if decoded:
+                    made.append(_said(names, made[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*cols, *kinds])
 
     kept = docs.select(cols)
-    return kept.mapInArrow(run, _with(kept, ids, T.ArrayType(T.IntegerType())))
-
-
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    return kept.mapInArrow(run, _with(kept, **kinds))
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -334,19 +352,14 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
         names = pa.array(_model(path).names, pa.string())
         for batch in batches:
             for part in pieces(batch, at, 4 << 20):
-                lists = part.column(at)
-                lengths = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-                said = names.take(lists.flatten())
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), said), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, joined], [*cols, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, _said(names, part.column(at))], [*cols, text])
 
     kept = docs.select(cols)
-    return kept.mapInArrow(run, _with(kept, text, T.StringType()))
+    return kept.mapInArrow(run, _with(kept, **{text: T.StringType()}))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return decode(encoded).select(
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -45,7 +45,9 @@ def test_edge_cases(spark):
     rows = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (None, "a b", "c"), (3, "ab " * 100000, "c"), (3, "<|endoftext|>", "c")], "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(rows)).collect()
     assert sorted((r.doc_id or 0, len(r.ids), r.decoded[:13]) for r in out) == [(0, 2, "a</w> b</w>"), (1, 0, ""), (2, 0, ""), (3, 1, "<|endoftext|>"), (3, 100000, "ab</w> ab</w>")]
-    assert bpe.encode(rows.limit(0)).count() == 0
+    both = bpe.encode(rows, decoded="both")
+    assert sorted((r.doc_id or 0, r.text or "", r.both) for r in both.collect()) == sorted((r.doc_id or 0, r.text or "", r.decoded) for r in out) and both.columns == [*rows.columns, "both"]
+    assert bpe.encode(rows.limit(0), decoded="both").count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [320])], "doc_id long, ids array<int>")
     assert bpe.decode(nulls).first().decoded == ""
 
