@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     decoded = unused(docs, "decoded")
-    read = bpe.decode(bpe.encode(docs), text=decoded).withColumn("n_tokens", F.size("ids").cast("long"))
+    read = bpe.encode(docs, decoded=decoded).withColumn("n_tokens", F.size("ids").cast("long"))
     return read.withColumn("decoded_sha256", F.sha2(decoded, 256)).drop(decoded)
 
 
