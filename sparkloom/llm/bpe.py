@@ -41,7 +41,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+
 #: The same for texts below U+0250, with the letters and numbers of that range spelled out.
 LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t\n\x0b\f\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 #: Words remembered by a worker.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 
 
 def default_vocabulary() -> str:
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
         model = _model(path)
         names = pa.array(model.names, pa.string())
         for batch in batches:
-            for part in pieces(batch, at, 2 << 20):
+            for part in pieces(batch, at, 4 << 20):
                 made = [_ids(model, part.column(at))]
                 if decoded:
                     made.append(_said(names, made[0]))
