@@ -142,6 +142,22 @@ def small_enough(df: DataFrame, most_mb: int = 16) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_mb << 20 else df
 
 
+#: Slots that keys are told apart by.
+SLOTS = 1 << 18
+
+
+def parted(rows: DataFrame, side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (a long, not null) may be in ``side``, and those whose key isn't.
+
+    The slots that the keys of ``side`` take are broadcast: at most ``SLOTS`` numbers, however many keys. So most rows
+    without a partner needn't be shuffled to learn that.
+    """
+    slot = unused(rows, "slot")
+    taken = F.broadcast(side.select(F.pmod(F.col(key), F.lit(SLOTS)).cast("int").alias(slot)).distinct())
+    rows = rows.withColumn(slot, F.pmod(F.col(key), F.lit(SLOTS)).cast("int"))
+    return rows.join(taken, slot, "left_semi").drop(slot), rows.join(taken, slot, "left_anti").drop(slot)
+
+
 def hub_limit(rows: int) -> int:
     """A key with more rows than this is a hub: there are at most 100,000 hubs, however many rows."""
     return max(256, rows // 100_000)

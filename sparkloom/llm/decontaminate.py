@@ -7,7 +7,8 @@ the item, are intersected, so an alignment of item and document survives only if
 then compared word by word with the document. Windows with a term that no document has are never looked up.
 
 Tables that depend on the benchmark alone or on survivors are written to the shared folder first, so that their
-sizes are known: small ones are broadcast, and the others are joined by shuffling.
+sizes are known. Candidates are joined to the documents by shuffling, but only documents whose key shares a slot with a
+candidate's move with their texts; the slots are of a bounded number and broadcast.
 
 Defined results: null and empty texts have no words; repeated rows each get a row; null item_ids count for hits but
 not as items; an empty benchmark finds nothing; an empty table gives no rows; very long texts are searched whole; other
@@ -21,7 +22,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, small_enough, table, unused
+from sparkloom.llm.common import keep, parted, table, unused
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,7 +86,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     """Documents ``(doc_id, doc, n_words, found)`` with their exact windows (place, length, said), and ``(said, item_id)``."""
     named, made, aligned = _lookup(docs, benchmark, window)
     candidates = keep(_candidates(made, aligned), "candidates")
-    rows = docs.select("doc_id", "text", row_key().alias("doc")).join(small_enough(candidates), "doc", "left")
+    may, cannot = parted(docs.select("doc_id", "text", row_key().alias("doc")), candidates, "doc")
+    rows = may.join(candidates, "doc", "left").unionByName(cannot.withColumn("found", F.lit(None).cast(candidates.schema["found"].dataType)))
     rows = rows.select("doc_id", "doc", "found", words(F.col("text")).alias("words"))
     same = lambda c: F.array_join(F.slice("words", c["place"] + 1, c["length"]), " ") == c["said"]
     exact = F.when(F.col("found").isNotNull(), F.filter("found", same))
@@ -118,7 +120,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     rows, _ = matches(docs, benchmark, window)
     doc = unused(docs, "doc")
     hit = keep(rows.where(F.size("found") > 0).select(F.col("doc").alias(doc)).distinct(), "hit")
-    return docs.withColumn(doc, row_key()).join(small_enough(hit), doc, "left_anti").select(docs.columns)
+    may, cannot = parted(docs.withColumn(doc, row_key()), hit, doc)
+    return may.join(hit, doc, "left_anti").unionByName(cannot).select(docs.columns)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
