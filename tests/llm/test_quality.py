@@ -1,5 +1,6 @@
 import binascii
 
+import numpy as np
 
 from sparkloom.llm import quality
 
